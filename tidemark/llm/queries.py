@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, token_output, url_lists
+from . import packing, quality, simhash, token_output, url_lists
 from .common import load
 
 
@@ -18,6 +19,22 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.fingerprints(load(spark, sf_dir, "documents"))
+    near = simhash.near_counts(rows)
+    own, other, following = ("f0", "f1"), ("e0", "e1"), ("g0", "g1")
+    return rows.join(near, ["f0", "f1"]).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.text_form(*own).alias("fingerprint"),
+        simhash.text_form(*other).alias("edited_fingerprint"),
+        simhash.likeness(simhash.distance(own, other)).alias("near_edited"),
+        simhash.likeness(simhash.distance(own, following)).alias("near_next"),
+        F.col("n_near"),
+    )
+
+
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return url_lists.evaluate(url_lists.page_captures(pages), url_lists.host_list(pages))
@@ -34,6 +51,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op4_simhash": op4_simhash,
     "op5_url_lists": op5_url_lists,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
