@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, token_output, url_lists
+from . import packing, pii, quality, simhash, token_output, url_lists
 from .common import load
 
 
@@ -40,6 +40,14 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.evaluate(url_lists.page_captures(pages), url_lists.host_list(pages))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(pii.of_kind("base", kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans")
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
@@ -53,6 +61,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op4_simhash": op4_simhash,
     "op5_url_lists": op5_url_lists,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
