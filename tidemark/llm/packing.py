@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import arrow_rows, staged
 from .tokens import encoder
 
 WINDOW = 2048
@@ -141,6 +141,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_len: float, window:
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_docs: int = SHARD_DOCS, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed uint16)."""
+    arrow_rows(docs.sparkSession)
     encoded = staged(encode_documents(docs, tokenizer_path, end_id), "packed-ids")
     df = document_frequencies(encoded)
     rows = encoded.filter("kind = 0").select("doc_id", "ids", "n_tokens")

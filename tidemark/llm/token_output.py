@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, staged, work_path
+from .common import arrow_rows, remove, staged, work_path
 from .tokens import encoder
 
 MAGIC = b"TMTOK01\n"
@@ -116,6 +116,7 @@ def write_tokens(
     import zstandard
 
     spark = docs.sparkSession
+    arrow_rows(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id, id_width)
     digest = hashlib.sha256(dictionary).digest()

@@ -15,7 +15,8 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
+KEPT_CHUNK = 7  # chunks up to this length are the frequent ones; they outlive a full cache
 _ODD_SPACES = re.compile(r"\s (?:\s|\Z)")
 _NOT_SPACES = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
 _encoders: dict[tuple[str, str], "ChunkEncoder"] = {}
@@ -42,12 +43,18 @@ class ChunkEncoder:
             self.mark = self.ids("|")
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def put(self, chunks: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        raw, cache = ids.tobytes(), self.cache
+        for k, a, b in zip(chunks, begin, end):
+            cache[k] = raw[4 * a : 4 * b]
 
     def learn(self, missing: list[str]) -> None:
         """Put the ids of chunks into the cache: one call for all, cut at marks."""
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+            kept = {k: v for k, v in self.cache.items() if len(k) <= KEPT_CHUNK}
+            self.cache = kept if 2 * len(kept) < CACHE_ENTRIES else {}
         cache = self.cache
         if self.kind == "byte":
             plain = [k for k in missing if k]
@@ -55,8 +62,7 @@ class ChunkEncoder:
                 ids = self.ids(" " + " ".join(plain))
                 cuts = np.flatnonzero(self.opens[ids])
                 if len(cuts) == len(plain) and cuts[0] == 0:
-                    for k, part in zip(plain, np.split(ids, cuts[1:])):
-                        cache[k] = part.tobytes()
+                    self.put(plain, ids, cuts.tolist(), [*cuts[1:].tolist(), len(ids)])
             for k in missing:
                 if k not in cache:
                     cache[k] = self.ids(" " + k).tobytes()
@@ -66,10 +72,7 @@ class ChunkEncoder:
             ids = self.ids(" | ".join(plain))
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) == len(plain) - 1:
-                begin = np.concatenate([[0], cuts + 1])
-                end = np.concatenate([cuts, [len(ids)]])
-                for k, a, b in zip(plain, begin, end):
-                    cache[k] = ids[a:b].tobytes()
+                self.put(plain, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
         for k in missing:
             if k not in cache:
                 cache[k] = self.ids(k).tobytes()
@@ -77,7 +80,6 @@ class ChunkEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        cache = self.cache
         if self.kind == "byte":
             if _ODD_SPACES.search(text):
                 return self.ids(text).tobytes()
@@ -88,14 +90,13 @@ class ChunkEncoder:
                 return self.ids(text).tobytes()
             head, chunks = b"", text.split()
         try:
-            return head + b"".join([cache[k] for k in chunks])
+            return head + b"".join([self.cache[k] for k in chunks])
         except KeyError:
-            self.learn([k for k in dict.fromkeys(chunks) if k not in cache])
-            try:
-                return head + b"".join([cache[k] for k in chunks])
-            except KeyError:  # the cache was emptied: the text has it all anew
-                self.learn(list(dict.fromkeys(chunks)))
-                return head + b"".join([cache[k] for k in chunks])
+            self.learn([k for k in dict.fromkeys(chunks) if k not in self.cache])
+        missing = [k for k in dict.fromkeys(chunks) if k not in self.cache]
+        if missing:  # the cache was thinned out meanwhile
+            self.learn(missing)
+        return head + b"".join([self.cache[k] for k in chunks])
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:
