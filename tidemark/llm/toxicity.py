@@ -1,17 +1,21 @@
-"""Toxicity by class-conditional Kneser-Ney models with shared backoff.
+"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Words fall into ``SLOTS`` hash slots; the ``PAIR_WORDS`` most frequent slots
-also have exact pair counts. Both bounds are parameters, so the model's size is
-fixed while its counts gather every labelled training text. For class c
+Words fall into ``SLOTS`` hash slots. A word's context h is the last one before
+it of the ``CONTEXTS`` most frequent words: it tells language and register, so
+that these are no evidence. Probabilities cover the ``VOCABULARY`` most frequent
+words, the others being one event. Both bounds are parameters, so the model's
+size is fixed while its counts gather every labelled training text. For class c
 
-    p_c(w | h) = (max(B_c(h, w) - D, 0) + D F_c(h) p_c(w)) / C_c(h)
-    p_c(w)     = (max(C_c(w) - D, 0) + D T_c p_cont(w)) / C_c
+    p_c(w | h) = max(B_c(h, w) - D_c(h), 0) / C_c(h) + L(h) p(w | h)
+    p(w | h)   = max(B(h, w) - d, 0) / C(h) + l(h) p_cont(w)
 
-where p_cont, the share of left contexts that w continues, is counted over both
-classes: rare expressions get nearly the same backoff on either side. A text's
-evidence is its length-normalised log-likelihood ratio; a logistic curve maps
-it to a score. The curve is fitted on training texts scored by the models of
-the other half of the training texts, so no text judges itself.
+B counts pairs of a class (without index: of both), L and l give away what the
+discounts took, and p_cont is the share of left contexts that w continues. An
+expression too rare in a class to pass its discount has the shared counts'
+probability on either side, and so no evidence. A text's evidence is its
+length-normalised log-likelihood ratio; a logistic curve maps it to a score.
+Discount (one of ``DISCOUNTS``) and curve are fitted on training texts scored by
+the models of the other half of the training texts, so no text judges itself.
 
 Training rows are the labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 Scores come from the text alone. Texts without words (null ones too) score the
@@ -35,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, discard, staged
 
 SLOTS = 1 << 18
-PAIR_WORDS = 1024
-DISCOUNT = 0.75
+CONTEXTS = 48
+VOCABULARY = 8192
+SHARED_DISCOUNT = 0.75
+DISCOUNTS = (0.75, 1.5, 3.0, 6.0)
 CHUNKS = 16
 CACHE_WORDS = 400_000
 THRESHOLD = 0.7
@@ -124,75 +130,80 @@ def count_words(batches) -> dict[str, np.ndarray]:
     return {"counts": counts, "docs": docs}
 
 
-def count_contexts(batches) -> dict[str, np.ndarray]:
-    """Bit masks of the left contexts (64 hash bins) that each slot continues."""
-    seen = np.zeros(SLOTS, np.int64)
-    for _, words in _each(batches):
-        if len(words) > 1:
-            bins = (words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-            np.bitwise_or.at(seen, words[1:], (np.uint64(1) << bins).astype(np.int64))
-    return {"seen": seen}
+def events(words: np.ndarray, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words (as places) of the positions that have a context."""
+    at = np.maximum.accumulate(np.where(context[words] >= 0, np.arange(len(words)), -1))[:-1]
+    follows = at >= 0
+    return context[words[at[follows]]], place[words[1:][follows]]
 
 
-def pair_counter(rank: np.ndarray):
-    def count_pairs(batches) -> dict[str, np.ndarray]:
-        pairs = np.zeros((4, PAIR_WORDS * PAIR_WORDS), np.int64)
+def count_contexts(place: np.ndarray):
+    """Bit masks of the left neighbours (64 hash bins) that each word continues."""
+
+    def run(batches) -> dict[str, np.ndarray]:
+        seen = np.zeros(VOCABULARY + 1, np.int64)
+        for _, words in _each(batches):
+            if len(words) > 1:
+                bins = (words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+                np.bitwise_or.at(seen, place[words[1:]], (np.uint64(1) << bins).astype(np.int64))
+        return {"seen": seen}
+
+    return run
+
+
+def count_pairs(context: np.ndarray, place: np.ndarray):
+    def run(batches) -> dict[str, np.ndarray]:
+        pairs = np.zeros((4, CONTEXTS * (VOCABULARY + 1)), np.int64)
         for group, words in _each(batches):
-            r = rank[words]
-            both = (r[:-1] >= 0) & (r[1:] >= 0)
-            np.add.at(pairs[group], r[:-1][both].astype(np.int64) * PAIR_WORDS + r[1:][both], 1)
+            if len(words) > 1:
+                h, w = events(words, context, place)
+                np.add.at(pairs[group], h.astype(np.int64) * (VOCABULARY + 1) + w, 1)
         return {"pairs": pairs}
 
-    return count_pairs
+    return run
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios, ready to sum."""
+    """Log-likelihood ratios by context and word, ready to sum."""
 
-    rank: np.ndarray  # slot -> place among the frequent ones, or -1
-    word: np.ndarray  # by slot
-    pair: np.ndarray  # by frequent pair
-    backoff: np.ndarray  # by frequent left word, for other right words
+    context: np.ndarray  # slot -> context number or -1
+    place: np.ndarray  # slot -> word number; VOCABULARY for the rest
+    ratio: np.ndarray
 
     def evidence(self, words: np.ndarray) -> float:
         """Length-normalised log-likelihood ratio, toxic against ordinary."""
-        if not len(words):
+        if len(words) < 2:
             return 0.0
-        own = self.word[words].astype(np.float64)
-        r = self.rank[words]
-        left, right = r[:-1], r[1:]
-        both = (left >= 0) & (right >= 0)
-        total = own[0] + own[1:][~both].sum() + self.pair[left[both], right[both]].sum(dtype=np.float64)
-        total += self.backoff[left[(left >= 0) & (right < 0)]].sum(dtype=np.float64)
-        return float(total / len(words))
+        h, w = events(words, self.context, self.place)
+        return float(self.ratio[h, w].sum(dtype=np.float64) / len(words))
+
 
+def fit_model(pairs: np.ndarray, seen: np.ndarray, context: np.ndarray, place: np.ndarray, discount: float) -> Model:
+    """``pairs`` (class, CONTEXTS * words), ``seen`` masks of both classes.
 
-def fit_model(counts: np.ndarray, pairs: np.ndarray, seen: np.ndarray, rank: np.ndarray) -> Model:
-    """``counts`` (class, slot), ``pairs`` (class, K, K), ``seen`` shared context masks."""
+    ``discount`` counts occurrences in the class that has seen a context less
+    often; in the other it grows in proportion, so that both give up the same
+    share and an expression as frequent in both has no evidence.
+    """
     full = np.bitwise_count(seen.view(np.uint64)).astype(float)
-    contexts = -64 * np.log1p(-np.minimum(full, 63.5) / 64)  # distinct contexts that fill so many of 64 bins
-    shared = np.maximum(contexts, 0.5)
-    shared /= shared.sum()
-    word, pair, back = [], [], []
-    chosen = np.flatnonzero(rank >= 0)[np.argsort(rank[rank >= 0])]
-    k = len(chosen)
-    for c in (0, 1):
-        total = max(counts[c].sum(), 1)
-        kinds = (counts[c] > 0).sum()
-        p = (np.maximum(counts[c] - DISCOUNT, 0) + max(DISCOUNT * kinds, 1.0) * shared) / total
-        left = np.maximum(counts[c][chosen], 1).astype(float)
-        inside = pairs[c].reshape(PAIR_WORDS, PAIR_WORDS)[:k, :k]
-        followers = (inside > 0).sum(1) + np.maximum(left - inside.sum(1), 0)
-        weight = np.where(counts[c][chosen] > 0, DISCOUNT * np.maximum(followers, 1) / left, 1.0)
-        pair.append(np.log(np.maximum(inside - DISCOUNT, 0) / left[:, None] + weight[:, None] * p[chosen][None, :]))
-        word.append(np.log(p))
-        back.append(np.log(weight))
-    return Model(rank, (word[1] - word[0]).astype(np.float32), (pair[1] - pair[0]).astype(np.float32), back[1] - back[0])
-
-
-def fit_curve(evidence_bins: np.ndarray, centres: np.ndarray) -> tuple[float, float]:
-    """Logistic a + b r from histograms (class, bin) by Newton steps with a light prior."""
+    continued = np.maximum(-64 * np.log1p(-np.minimum(full, 63.5) / 64), 0.5)  # neighbours that fill so many of 64 bins
+    continued /= continued.sum()
+    b = pairs.reshape(2, CONTEXTS, VOCABULARY + 1).astype(float)
+    c = b.sum(2)
+    both, total = b.sum(0), np.maximum(c.sum(0), 1)[:, None]
+    shared = np.maximum(both - SHARED_DISCOUNT, 0) / total
+    shared += (1 - shared.sum(1, keepdims=True)) * continued[None, :]
+    least = np.maximum(c.min(0), 1)[:, None]
+    kept = np.maximum(b / np.maximum(c, 1)[:, :, None] - discount / least[None], 0)
+    weight = np.maximum(1 - kept.sum(2).mean(0), 1e-6)[:, None]
+    ratio = np.log(kept[1] + weight * shared) - np.log(kept[0] + weight * shared)
+    ratio[c.min(0) == 0] = 0  # a context that one class has never seen says nothing
+    return Model(context, place, ratio.astype(np.float32))
+
+
+def fit_curve(evidence_bins: np.ndarray, centres: np.ndarray) -> tuple[float, float, float]:
+    """Logistic a + b r from histograms (class, bin) by Newton steps with a light prior, and its loss."""
     n0, n1 = evidence_bins
     a, b = float(np.log((n1.sum() + 1) / (n0.sum() + 1))), 0.0
     scale = max(float(np.sqrt(np.average(centres**2, weights=n0 + n1 + 1e-9))), 1e-6)
@@ -208,10 +219,17 @@ def fit_curve(evidence_bins: np.ndarray, centres: np.ndarray) -> tuple[float, fl
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b / scale)
+    z = np.clip(a + b * x, -40, 40)
+    loss = float((n0 * np.logaddexp(0, z) + n1 * np.logaddexp(0, -z)).sum())
+    return float(a), float(b / scale), loss
+
+
+BINS, SPREAD = 8192, 1.0
+CENTRES = (np.arange(BINS) + 0.5) / BINS * 2 * SPREAD - SPREAD
 
 
-BINS, SPREAD = 4096, 2.0
+def bin_of(r: float) -> int:
+    return int(np.clip((r + SPREAD) / (2 * SPREAD) * BINS, 0, BINS - 1))
 
 
 @dataclass
@@ -238,28 +256,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     counts, totals = found["counts"].reshape(4, SLOTS), found["docs"][:4]
     if min(totals[0] + totals[2], totals[1] + totals[3]) == 0:
         return Scorer(None)
-    seen = gather(rows, count_contexts, ["seen"], np.bitwise_or)["seen"]
-    frequent = np.argsort(-counts.sum(0), kind="stable")[:PAIR_WORDS]
-    rank = np.full(SLOTS, -1, np.int16)
-    rank[frequent] = np.arange(len(frequent))
-    pairs = gather(rows, pair_counter(rank), ["pairs"])["pairs"].reshape(4, -1)
-    halves = [fit_model(counts[2 * f : 2 * f + 2], pairs[2 * f : 2 * f + 2], seen, rank) for f in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast(halves)
+    frequent = np.argsort(-counts.sum(0), kind="stable")[:VOCABULARY]
+    context, place = np.full(SLOTS, -1, np.int16), np.full(SLOTS, VOCABULARY, np.int16)
+    context[frequent[:CONTEXTS]] = np.arange(CONTEXTS)
+    place[frequent] = np.arange(len(frequent))
+    seen = gather(rows, count_contexts(place), ["seen"], np.bitwise_or)["seen"]
+    pairs = gather(rows, count_pairs(context, place), ["pairs"])["pairs"].reshape(4, -1)
+    grid = [[fit_model(pairs[2 * f : 2 * f + 2], seen, context, place, d) for d in DISCOUNTS] for f in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast(grid)
 
     def histogram(batches):
-        bins = np.zeros((2, BINS), np.int64)
+        bins = np.zeros((len(DISCOUNTS), 2, BINS), np.int64)
         for group, words in _each(batches):
             if len(words):
-                r = shared.value[1 - group // 2].evidence(words)
-                bins[group % 2, int(np.clip((r + SPREAD) / (2 * SPREAD) * BINS, 0, BINS - 1))] += 1
+                for k, model in enumerate(shared.value[1 - group // 2]):
+                    bins[k, group % 2, bin_of(model.evidence(words))] += 1
         return {"bins": bins}
 
-    bins = gather(rows, histogram, ["bins"])["bins"].reshape(2, BINS)
+    bins = gather(rows, histogram, ["bins"])["bins"].reshape(len(DISCOUNTS), 2, BINS)
     discard(rows)
-    centres = (np.arange(BINS) + 0.5) / BINS * 2 * SPREAD - SPREAD
-    a, b = fit_curve(bins, centres)
-    model = fit_model(counts[:2] + counts[2:], pairs[:2] + pairs[2:], seen, rank)
-    return Scorer(model, a, b, float((totals[1] + totals[3]) / totals.sum()))
+    curves = [fit_curve(x, CENTRES) for x in bins]
+    best = min(range(len(DISCOUNTS)), key=lambda k: curves[k][2])
+    model = fit_model(pairs[:2] + pairs[2:], seen, context, place, DISCOUNTS[best])
+    return Scorer(model, *curves[best][:2], float((totals[1] + totals[3]) / totals.sum()))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
