@@ -6,16 +6,20 @@ that these are no evidence. Probabilities cover the ``VOCABULARY`` most frequent
 words, the others being one event. Both bounds are parameters, so the model's
 size is fixed while its counts gather every labelled training text. For class c
 
-    p_c(w | h) = max(B_c(h, w) - D_c(h), 0) / C_c(h) + L(h) p(w | h)
+    p_c(w | h) = max(B_c(h, w) - D_c(h, w), 0) / C_c(h) + L(h) p(w | h)
     p(w | h)   = max(B(h, w) - d, 0) / C(h) + l(h) p_cont(w)
 
-B counts pairs of a class (without index: of both), L and l give away what the
-discounts took, and p_cont is the share of left contexts that w continues. An
-expression too rare in a class to pass its discount has the shared counts'
-probability on either side, and so no evidence. A text's evidence is its
-length-normalised log-likelihood ratio; a logistic curve maps it to a score.
-Discount (one of ``DISCOUNTS``) and curve are fitted on training texts scored by
-the models of the other half of the training texts, so no text judges itself.
+B are continuation counts: the occurrences of w after h with different
+neighbours, so copied texts lend no weight. B_c counts a class, B both; L and l
+give away what the discounts took, and p_cont is the share of left neighbours
+that w continues. The discount D_c(h, w) = E + z sqrt(E) + d, with E = C_c(h)
+p(w | h), leaves what a class has significantly beyond the shared counts:
+rare expressions have the shared probability on either side and no evidence. A
+text's evidence is its log-likelihood ratio over the root of its length, the
+unit in which chance findings stay equal; a monotone curve (pooled adjacent
+violators) maps it to a score. The level z (one of ``LEVELS``) and the curve are
+fitted on training texts scored by the models of the other half of the training
+texts, so no text judges itself.
 
 Training rows are the labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 Scores come from the text alone. Texts without words (null ones too) score the
@@ -39,10 +43,10 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, discard, staged
 
 SLOTS = 1 << 18
-CONTEXTS = 48
+CONTEXTS = 10
 VOCABULARY = 8192
-SHARED_DISCOUNT = 0.75
-DISCOUNTS = (0.75, 1.5, 3.0, 6.0)
+DISCOUNT = 0.75
+LEVELS = (1.0, 2.0, 3.0, 4.0, 6.0)
 CHUNKS = 16
 CACHE_WORDS = 400_000
 THRESHOLD = 0.7
@@ -163,6 +167,36 @@ def count_pairs(context: np.ndarray, place: np.ndarray):
     return run
 
 
+def mask_pairs(context: np.ndarray, place: np.ndarray):
+    """Bit masks of the neighbours (64 hash bins of left and right word) of each pair."""
+
+    def run(batches) -> dict[str, np.ndarray]:
+        masks = np.zeros((4, CONTEXTS * (VOCABULARY + 1)), np.int64)
+        for group, words in _each(batches):
+            if len(words) > 1:
+                h, w = events(words, context, place)
+                n = len(h)
+                right = np.append(words[1:], 0)[-n:].astype(np.uint64) if n else np.zeros(0, np.uint64)
+                left = words[:-1][-n:].astype(np.uint64) if n else right
+                bins = ((left * np.uint64(SLOTS) + right + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+                np.bitwise_or.at(masks[group], h.astype(np.int64) * (VOCABULARY + 1) + w, (np.uint64(1) << bins).astype(np.int64))
+        return {"masks": masks}
+
+    return run
+
+
+def distinct(masks: np.ndarray) -> np.ndarray:
+    """How many different things fill so many of 64 bins."""
+    full = np.bitwise_count(masks.view(np.uint64)).astype(float)
+    return -64 * np.log1p(-np.minimum(full, 63.5) / 64)
+
+
+def continuation(pairs: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Occurrences with different neighbours; where a mask is nearly full, its bins tell no more than the occurrences."""
+    found = distinct(masks)
+    return np.where(found < 160, np.minimum(pairs, np.round(found)), pairs)
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios by context and word, ready to sum."""
@@ -176,55 +210,50 @@ class Model:
         if len(words) < 2:
             return 0.0
         h, w = events(words, self.context, self.place)
-        return float(self.ratio[h, w].sum(dtype=np.float64) / len(words))
+        return float(self.ratio[h, w].sum(dtype=np.float64) / np.sqrt(len(words)))
 
 
-def fit_model(pairs: np.ndarray, seen: np.ndarray, context: np.ndarray, place: np.ndarray, discount: float) -> Model:
-    """``pairs`` (class, CONTEXTS * words), ``seen`` masks of both classes.
-
-    ``discount`` counts occurrences in the class that has seen a context less
-    often; in the other it grows in proportion, so that both give up the same
-    share and an expression as frequent in both has no evidence.
-    """
-    full = np.bitwise_count(seen.view(np.uint64)).astype(float)
-    continued = np.maximum(-64 * np.log1p(-np.minimum(full, 63.5) / 64), 0.5)  # neighbours that fill so many of 64 bins
+def fit_model(pairs: np.ndarray, seen: np.ndarray, context: np.ndarray, place: np.ndarray, level: float) -> Model:
+    """``pairs`` (class, CONTEXTS * words) continuation counts, ``seen`` masks of both classes, ``level`` the z of the discount."""
+    continued = np.maximum(distinct(seen), 0.5)
     continued /= continued.sum()
     b = pairs.reshape(2, CONTEXTS, VOCABULARY + 1).astype(float)
     c = b.sum(2)
     both, total = b.sum(0), np.maximum(c.sum(0), 1)[:, None]
-    shared = np.maximum(both - SHARED_DISCOUNT, 0) / total
+    shared = np.maximum(both - DISCOUNT, 0) / total
     shared += (1 - shared.sum(1, keepdims=True)) * continued[None, :]
-    least = np.maximum(c.min(0), 1)[:, None]
-    kept = np.maximum(b / np.maximum(c, 1)[:, :, None] - discount / least[None], 0)
+    expected = c[:, :, None] * shared[None]
+    kept = np.maximum(b - expected - level * np.sqrt(expected) - DISCOUNT, 0) / np.maximum(c, 1)[:, :, None]
     weight = np.maximum(1 - kept.sum(2).mean(0), 1e-6)[:, None]
     ratio = np.log(kept[1] + weight * shared) - np.log(kept[0] + weight * shared)
     ratio[c.min(0) == 0] = 0  # a context that one class has never seen says nothing
     return Model(context, place, ratio.astype(np.float32))
 
 
-def fit_curve(evidence_bins: np.ndarray, centres: np.ndarray) -> tuple[float, float, float]:
-    """Logistic a + b r from histograms (class, bin) by Newton steps with a light prior, and its loss."""
-    n0, n1 = evidence_bins
-    a, b = float(np.log((n1.sum() + 1) / (n0.sum() + 1))), 0.0
-    scale = max(float(np.sqrt(np.average(centres**2, weights=n0 + n1 + 1e-9))), 1e-6)
-    x = centres / scale
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -40, 40)))
-        n = n0 + n1
-        g = np.array([(n1 - n * p).sum(), ((n1 - n * p) * x).sum() - 1e-3 * b])
-        w = n * p * (1 - p)
-        h = np.array([[w.sum() + 1e-6, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-9))
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    z = np.clip(a + b * x, -40, 40)
-    loss = float((n0 * np.logaddexp(0, z) + n1 * np.logaddexp(0, -z)).sum())
-    return float(a), float(b / scale), loss
-
-
-BINS, SPREAD = 8192, 1.0
+def fit_curve(bins: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Knots and values of a rising curve through the histograms (class, bin), and its loss.
+
+    Bins without texts join their neighbours; each block has half a text of either class beside its own.
+    """
+    n0, n1 = bins.astype(float)
+    blocks: list[list[float]] = []  # ordinary, toxic, sum of centres
+    for k in np.flatnonzero(n0 + n1):
+        blocks.append([n0[k], n1[k], (n0[k] + n1[k]) * centres[k]])
+        while len(blocks) > 1 and blocks[-2][1] * sum(blocks[-1][:2]) >= blocks[-1][1] * sum(blocks[-2][:2]):
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
+    prior = n1.sum() / max(n0.sum() + n1.sum(), 1)
+    x = np.array([s / (a + b) for a, b, s in blocks])
+    y = np.maximum.accumulate([(b + prior) / (a + b + 1) for a, b, _ in blocks])
+    p = np.interp(centres, x, y)
+    loss = -float((n0 * np.log(1 - p + 1e-12) + n1 * np.log(p + 1e-12)).sum())
+    # beyond the outer knots the curve goes on to 0 and 1, slowly, so that evidence still orders texts
+    x = np.concatenate([[min(x[0], centres[0]) - 1e-6], x, [max(x[-1], centres[-1]) + 1e-6]])
+    y = np.concatenate([[y[0] * 0.5], y, [(y[-1] + 1) / 2]])
+    return x, y, loss
+
+
+BINS, SPREAD = 8192, 8.0
 CENTRES = (np.arange(BINS) + 0.5) / BINS * 2 * SPREAD - SPREAD
 
 
@@ -235,8 +264,8 @@ def bin_of(r: float) -> int:
 @dataclass
 class Scorer:
     model: Model | None
-    a: float = 0.0
-    b: float = 0.0
+    x: np.ndarray | None = None
+    y: np.ndarray | None = None
     share: float = 0.0
 
     def score(self, words: np.ndarray) -> float:
@@ -244,7 +273,7 @@ class Scorer:
             return 0.0
         if not len(words):
             return self.share
-        return float(1 / (1 + np.exp(-np.clip(self.a + self.b * self.model.evidence(words), -500, 500))))
+        return float(np.interp(self.model.evidence(words), self.x, self.y))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -262,22 +291,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     place[frequent] = np.arange(len(frequent))
     seen = gather(rows, count_contexts(place), ["seen"], np.bitwise_or)["seen"]
     pairs = gather(rows, count_pairs(context, place), ["pairs"])["pairs"].reshape(4, -1)
-    grid = [[fit_model(pairs[2 * f : 2 * f + 2], seen, context, place, d) for d in DISCOUNTS] for f in (0, 1)]
+    masks = gather(rows, mask_pairs(context, place), ["masks"], np.bitwise_or)["masks"].reshape(4, -1)
+    half = [continuation(pairs[2 * f : 2 * f + 2], masks[2 * f : 2 * f + 2]) for f in (0, 1)]
+    grid = [[fit_model(half[f], seen, context, place, d) for d in LEVELS] for f in (0, 1)]
     shared = docs.sparkSession.sparkContext.broadcast(grid)
 
     def histogram(batches):
-        bins = np.zeros((len(DISCOUNTS), 2, BINS), np.int64)
+        bins = np.zeros((len(LEVELS), 2, BINS), np.int64)
         for group, words in _each(batches):
             if len(words):
                 for k, model in enumerate(shared.value[1 - group // 2]):
                     bins[k, group % 2, bin_of(model.evidence(words))] += 1
         return {"bins": bins}
 
-    bins = gather(rows, histogram, ["bins"])["bins"].reshape(len(DISCOUNTS), 2, BINS)
+    bins = gather(rows, histogram, ["bins"])["bins"].reshape(len(LEVELS), 2, BINS)
     discard(rows)
     curves = [fit_curve(x, CENTRES) for x in bins]
-    best = min(range(len(DISCOUNTS)), key=lambda k: curves[k][2])
-    model = fit_model(pairs[:2] + pairs[2:], seen, context, place, DISCOUNTS[best])
+    best = min(range(len(LEVELS)), key=lambda k: curves[k][2])
+    model = fit_model(continuation(pairs[:2] + pairs[2:], masks[:2] | masks[2:]), seen, context, place, LEVELS[best])
     return Scorer(model, *curves[best][:2], float((totals[1] + totals[3]) / totals.sum()))
 
 
