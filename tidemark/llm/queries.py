@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash, token_output, toxicity, url_lists
+from . import near_join, packing, pii, quality, simhash, token_output, toxicity, url_lists
 from .common import load
 
 
@@ -56,6 +56,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(load(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(load(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_url_lists": op5_url_lists,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_near_join": op8_near_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
