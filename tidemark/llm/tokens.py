@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_500_000
 KEPT_CHUNK = 7  # chunks up to this length are the frequent ones; they outlive a full cache
 _ODD_SPACES = re.compile(r"\s (?:\s|\Z)")
 _NOT_SPACES = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
