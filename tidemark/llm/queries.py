@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_join, packing, pii, quality, simhash, token_output, toxicity, url_lists
+from . import mixing, near_join, packing, pii, quality, simhash, token_output, toxicity, url_lists
 from .common import load
 
 
@@ -65,6 +65,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Shares of the mixture's words by domain of the labelled table.
+WEIGHTS = {"clean": 0.87, "junk": 0.08, "toxic": 0.05}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, load(spark, sf_dir, "labels"), WEIGHTS)
+    return mixed.select("doc_id", F.col("mix_n").alias("n_words"), F.col("mix_domain").alias("domain"), F.col("mix_p").alias("posteriors"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op3_toxicity": op3_toxicity,
@@ -74,6 +84,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_near_join": op8_near_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {"op5_url_lists": url_lists.ORACLE, "op9_quality_rules": quality.ORACLE}
