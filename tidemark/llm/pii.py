@@ -9,7 +9,8 @@ the match before is the place where the pattern found it.
 The method adds spans of kind ``term``. Every valid match is a protected
 entity; its context is the ``CONTEXT_WORDS`` words on either side, and equal
 contexts count once, so copies lend no support. Over the whole corpus a term
-reveals entity e by log2(p(e | term) / p(e)) bits. Terms with at least
+reveals entity e by log2(p(e | term) / p(e)) bits, p(e | term) being the share
+of e among the term's contexts, or among its distinct lines where those are more. Terms with at least
 ``MIN_SUPPORT`` contexts, p(e | term) >= ``MIN_SHARE`` and ``MIN_BITS`` bits
 exceed the disclosure threshold: their occurrences become spans wherever they
 stand, unless a base span covers them. :func:`sanitise` generalises spans to
@@ -131,7 +132,10 @@ def disclosing_terms(spanned: DataFrame, min_support: int = MIN_SUPPORT, min_sha
     """Terms above the disclosure threshold with their entity, share and bits; None where no term has the support."""
     near = contexts(spanned)
     pairs = near.select("entity", F.explode(terms_of(F.col("context"))).alias("term"))
-    joint = staged(pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_support), "joint-terms")
+    joint = staged(pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")), "joint-terms")
+    near_any = joint.groupBy("term").agg(F.sum("joint").alias("near_any"))
+    likely = joint.filter(F.col("joint") >= min_support).join(near_any, "term").filter(F.col("joint") >= min_share * F.col("near_any"))
+    joint = staged(likely, "likely-terms")
     if joint.isEmpty():
         return None
     wanted = small(joint.select("term").distinct())
@@ -140,7 +144,7 @@ def disclosing_terms(spanned: DataFrame, min_support: int = MIN_SUPPORT, min_sha
     totals = held.groupBy("term", "line").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("lines"))
     n = spanned.select(F.coalesce(F.sum(F.size(F.split("text", "\n"))), F.lit(0))).first()[0]
     entity = near.groupBy("entity").agg(F.count("*").alias("entity_contexts"))
-    share = F.col("joint") / F.greatest("lines", "joint")
+    share = F.col("joint") / F.greatest("lines", "near_any")
     bits = F.log2(share * F.lit(float(max(n, 1))) / F.col("entity_contexts"))
     scored = joint.join(totals, "term").join(entity, "entity").select("term", "entity", share.alias("share"), bits.alias("bits"))
     return staged(scored.filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits)), "disclosing-terms")
