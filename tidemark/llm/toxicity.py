@@ -15,11 +15,12 @@ give away what the discounts took, and p_cont is the share of left neighbours
 that w continues. The discount D_c(h, w) = E + z sqrt(E) + d, with E = C_c(h)
 p(w | h), leaves what a class has significantly beyond the shared counts:
 rare expressions have the shared probability on either side and no evidence. A
-text's evidence is its log-likelihood ratio over the root of its length, the
-unit in which chance findings stay equal; a monotone curve (pooled adjacent
-violators) maps it to a score. The level z (one of ``LEVELS``) and the curve are
-fitted on training texts scored by the models of the other half of the training
-texts, so no text judges itself.
+text's evidence is its log-likelihood ratio less the mean one of ordinary texts
+of its length, over a power of the length; a monotone curve (pooled adjacent
+violators) maps it to a score. The level z (one of ``LEVELS``), the power (of
+``POWERS``) and the curve are
+fitted on training texts in ``FOLDS`` parts, each scored by the model of the
+other parts, so no text judges itself.
 
 Training rows are the labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 Scores come from the text alone. Texts without words (null ones too) score the
@@ -47,7 +48,10 @@ CONTEXTS = 10
 VOCABULARY = 8192
 DISCOUNT = 0.75
 LEVELS = (1.0, 2.0, 3.0, 4.0, 6.0)
+POWERS = (0.5, 0.75, 1.0)
+USUAL_WORDS = 400.0  # the length at which evidence of all powers is alike
 CHUNKS = 16
+FOLDS = 8
 CACHE_WORDS = 400_000
 THRESHOLD = 0.7
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -72,11 +76,11 @@ _slots = Slots()
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, fold (0 or 1), words (packed slots) of the training rows."""
-    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    """label, fold, words (packed slots) of the training rows."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(part != 1).join(marked, "doc_id")
-    rows = rows.select((part == 2).cast("int").alias("fold"), (F.col("label") > 0).cast("int").alias("label"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc % 3 != 1).join(marked.hint("merge"), "doc_id")
+    rows = rows.select((F.floor(crc / 3) % FOLDS).cast("int").alias("fold"), (F.col("label") > 0).cast("int").alias("label"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +128,11 @@ def _each(batches) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def count_words(batches) -> dict[str, np.ndarray]:
-    counts = np.zeros((4, SLOTS), np.int64)
+    counts = np.zeros((2, SLOTS), np.int64)
     docs = np.zeros(CHUNKS, np.int64)
     for group, words in _each(batches):
-        counts[group] += np.bincount(words, minlength=SLOTS) if len(words) > SLOTS // 16 else 0
-        if len(words) <= SLOTS // 16:
-            np.add.at(counts[group], words, 1)
-        docs[group] += 1
+        np.add.at(counts[group % 2], words, 1)
+        docs[group % 2] += 1
     return {"counts": counts, "docs": docs}
 
 
@@ -157,7 +159,7 @@ def count_contexts(place: np.ndarray):
 
 def count_pairs(context: np.ndarray, place: np.ndarray):
     def run(batches) -> dict[str, np.ndarray]:
-        pairs = np.zeros((4, CONTEXTS * (VOCABULARY + 1)), np.int64)
+        pairs = np.zeros((2 * FOLDS, CONTEXTS * (VOCABULARY + 1)), np.int64)
         for group, words in _each(batches):
             if len(words) > 1:
                 h, w = events(words, context, place)
@@ -171,7 +173,7 @@ def mask_pairs(context: np.ndarray, place: np.ndarray):
     """Bit masks of the neighbours (64 hash bins of left and right word) of each pair."""
 
     def run(batches) -> dict[str, np.ndarray]:
-        masks = np.zeros((4, CONTEXTS * (VOCABULARY + 1)), np.int64)
+        masks = np.zeros((2 * FOLDS, CONTEXTS * (VOCABULARY + 1)), np.int64)
         for group, words in _each(batches):
             if len(words) > 1:
                 h, w = events(words, context, place)
@@ -197,6 +199,11 @@ def continuation(pairs: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.where(found < 160, np.minimum(pairs, np.round(found)), pairs)
 
 
+def normalised(total: float, n: int, drift: float, power: float) -> float:
+    n = max(n, 1)
+    return (total - drift * n) / n**power * USUAL_WORDS ** (power - 0.5)
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios by context and word, ready to sum."""
@@ -204,13 +211,19 @@ class Model:
     context: np.ndarray  # slot -> context number or -1
     place: np.ndarray  # slot -> word number; VOCABULARY for the rest
     ratio: np.ndarray
+    drift: float = 0.0  # mean ratio of a word in ordinary texts
+    power: float = 0.5  # of the length that divides the sum
 
-    def evidence(self, words: np.ndarray) -> float:
-        """Length-normalised log-likelihood ratio, toxic against ordinary."""
+    def total(self, words: np.ndarray) -> float:
+        """Log-likelihood ratio, toxic against ordinary."""
         if len(words) < 2:
             return 0.0
         h, w = events(words, self.context, self.place)
-        return float(self.ratio[h, w].sum(dtype=np.float64) / np.sqrt(len(words)))
+        return float(self.ratio[h, w].sum(dtype=np.float64))
+
+    def evidence(self, words: np.ndarray) -> float:
+        """Length-normalised log-likelihood ratio."""
+        return normalised(self.total(words), len(words), self.drift, self.power)
 
 
 def fit_model(pairs: np.ndarray, seen: np.ndarray, context: np.ndarray, place: np.ndarray, level: float) -> Model:
@@ -282,34 +295,54 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     found = gather(rows, count_words, ["counts", "docs"])
     if not found:
         return Scorer(None)
-    counts, totals = found["counts"].reshape(4, SLOTS), found["docs"][:4]
-    if min(totals[0] + totals[2], totals[1] + totals[3]) == 0:
+    counts, totals = found["counts"].reshape(2, SLOTS), found["docs"][:2]
+    if totals.min() == 0:
         return Scorer(None)
     frequent = np.argsort(-counts.sum(0), kind="stable")[:VOCABULARY]
     context, place = np.full(SLOTS, -1, np.int16), np.full(SLOTS, VOCABULARY, np.int16)
     context[frequent[:CONTEXTS]] = np.arange(CONTEXTS)
     place[frequent] = np.arange(len(frequent))
     seen = gather(rows, count_contexts(place), ["seen"], np.bitwise_or)["seen"]
-    pairs = gather(rows, count_pairs(context, place), ["pairs"])["pairs"].reshape(4, -1)
-    masks = gather(rows, mask_pairs(context, place), ["masks"], np.bitwise_or)["masks"].reshape(4, -1)
-    half = [continuation(pairs[2 * f : 2 * f + 2], masks[2 * f : 2 * f + 2]) for f in (0, 1)]
-    grid = [[fit_model(half[f], seen, context, place, d) for d in LEVELS] for f in (0, 1)]
+    pairs = gather(rows, count_pairs(context, place), ["pairs"])["pairs"].reshape(FOLDS, 2, -1)
+    masks = gather(rows, mask_pairs(context, place), ["masks"], np.bitwise_or)["masks"].reshape(FOLDS, 2, -1)
+    grid = []
+    for f in range(FOLDS):
+        rest = [g for g in range(FOLDS) if g != f]
+        others = continuation(pairs[rest].sum(0), np.bitwise_or.reduce(masks[rest], 0))
+        grid.append([fit_model(others, seen, context, place, level) for level in LEVELS])
     shared = docs.sparkSession.sparkContext.broadcast(grid)
 
+    def drifts(batches):
+        sums = np.zeros((len(LEVELS) + 1) * CHUNKS, np.int64)
+        for group, words in _each(batches):
+            if len(words) and not group % 2:
+                for k, model in enumerate(shared.value[group // 2]):
+                    sums[k] += round(model.total(words) * 1e6)
+                sums[len(LEVELS)] += len(words)
+        return {"sums": sums}
+
+    sums = gather(rows, drifts, ["sums"])["sums"]
+    drift = [float(sums[k]) / 1e6 / max(int(sums[len(LEVELS)]), 1) for k in range(len(LEVELS))]
+
     def histogram(batches):
-        bins = np.zeros((len(LEVELS), 2, BINS), np.int64)
+        bins = np.zeros((len(LEVELS), len(POWERS), 2, BINS), np.int64)
         for group, words in _each(batches):
             if len(words):
-                for k, model in enumerate(shared.value[1 - group // 2]):
-                    bins[k, group % 2, bin_of(model.evidence(words))] += 1
+                for k, model in enumerate(shared.value[group // 2]):
+                    total = model.total(words)
+                    for a, power in enumerate(POWERS):
+                        bins[k, a, group % 2, bin_of(normalised(total, len(words), drift[k], power))] += 1
         return {"bins": bins}
 
-    bins = gather(rows, histogram, ["bins"])["bins"].reshape(len(LEVELS), 2, BINS)
+    bins = gather(rows, histogram, ["bins"])["bins"].reshape(len(LEVELS) * len(POWERS), 2, BINS)
+    shared.unpersist()
     discard(rows)
     curves = [fit_curve(x, CENTRES) for x in bins]
-    best = min(range(len(LEVELS)), key=lambda k: curves[k][2])
-    model = fit_model(continuation(pairs[:2] + pairs[2:], masks[:2] | masks[2:]), seen, context, place, LEVELS[best])
-    return Scorer(model, *curves[best][:2], float((totals[1] + totals[3]) / totals.sum()))
+    best = min(range(len(curves)), key=lambda k: curves[k][2])
+    level, power = divmod(best, len(POWERS))
+    model = fit_model(continuation(pairs.sum(0), np.bitwise_or.reduce(masks, 0)), seen, context, place, LEVELS[level])
+    model.drift, model.power = drift[level], POWERS[power]
+    return Scorer(model, *curves[best][:2], float(totals[1] / totals.sum()))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
