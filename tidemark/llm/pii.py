@@ -176,14 +176,18 @@ def with_spans(docs: DataFrame, **thresholds) -> DataFrame:
     risky = disclosing_terms(spanned, **thresholds)
     if risky is None or risky.isEmpty():
         return spanned.withColumn("spans", F.col("base"))
-    held = spanned.select(F.xxhash64("text").alias("pii_h"), F.length("text").alias("pii_n"), F.explode(terms_of(F.col("text"))).alias("term"))
-    held = held.join(small(risky.select("term").distinct()), "term", "left_semi")
-    held = held.groupBy("pii_h", "pii_n").agg(F.collect_set("term").alias("pii_terms"))
-    found = spanned.withColumns({"pii_h": F.xxhash64("text"), "pii_n": F.length("text")}).join(held, ["pii_h", "pii_n"], "left")
+    terms = [r.term for r in risky.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+    if len(terms) <= BROADCAST_TERMS:  # letters only, so a comma parts them
+        known = F.split(F.lit(",".join(sorted(terms))), ",")
+        found = spanned.withColumn("pii_terms", F.array_intersect(terms_of(F.col("text")), known))
+    else:
+        held = spanned.select(F.xxhash64("text").alias("pii_h"), F.length("text").alias("pii_n"), F.explode(terms_of(F.col("text"))).alias("term"))
+        held = held.join(risky.select("term").distinct(), "term", "left_semi").groupBy("pii_h", "pii_n").agg(F.collect_set("term").alias("pii_terms"))
+        found = spanned.withColumns({"pii_h": F.xxhash64("text"), "pii_n": F.length("text")}).join(held, ["pii_h", "pii_n"], "left").drop("pii_h", "pii_n")
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    added = F.when(F.col("pii_terms").isNotNull(), F.filter(term_spans(F.col("text"), F.col("pii_terms")), clear))
+    added = F.when(F.size("pii_terms") > 0, F.filter(term_spans(F.col("text"), F.col("pii_terms")), clear))
     spans = F.sort_array(F.concat("base", F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))
-    return found.withColumn("spans", spans).drop("pii_h", "pii_n", "pii_terms")
+    return found.withColumn("spans", spans).drop("pii_terms")
 
 
 def masked(text: Column, spans: Column) -> Column:
