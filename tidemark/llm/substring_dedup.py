@@ -13,8 +13,9 @@ share one. A run of windows with one anchor is a segment of at most 72 bytes.
    has is removed whole. What is left of a shared anchor, the first holders of
    each content, may share some windows with contents of another kind.
 2. The holders' bytes are cut from the texts and dealt by anchor. Batches of
-   segments are put in suffix order (:mod:`suffix_order`); neighbours that agree
-   on 50 bytes are one window, whose least document decides.
+   segments, trimmed to what others may share and with the anchor as one symbol,
+   are put in suffix order (:mod:`suffix_order`); neighbours that agree on all of
+   a window's symbols are one window, whose least document decides.
 3. Anchors with more than ``HOT_HOLDERS`` holders are not gathered in one task:
    their windows are dealt one by one, by a 128-bit hash of their bytes.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ STEP = 23  # windows of STEP anchors; ANCHOR + STEP - 1 = WINDOW
 GRAM = 5  # ANCHOR mod STEP, so that the selected anchors move forward with the window
 HOT_HOLDERS = 500
 BATCH_BYTES = 1 << 20
-SORT_BYTES = 1 << 16
+SORT_BYTES = 1 << 19
 LAST_ID = (1 << 63) - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -85,14 +87,14 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """text number, start, windows, anchor hash and content hash of every segment."""
+    """text number, start, anchor's offset, windows, anchor hash and content hash of every segment."""
     raw = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     offset = np.concatenate([[0], np.cumsum(sizes)])
     counts = np.maximum(sizes - WINDOW + 1, 0)
     total = int(counts.sum())
     if not total:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+        return (np.zeros(0, np.int64),) * 6
     v = words_at(raw)
     grams = mix(v & np.uint64((1 << 8 * GRAM) - 1))
     ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(raw), dtype=np.uint64)
@@ -109,7 +111,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         key = mix(key ^ v[at + j]) + B
     start = begin[cut]
     content = content_hashes(v, start, windows + WINDOW - 1)
-    return owner[cut], start - offset[owner[cut]], windows, key.view(np.int64), content.view(np.int64)
+    return owner[cut], start - offset[owner[cut]], at - start, windows, key.view(np.int64), content.view(np.int64)
 
 
 def content_hashes(v: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -137,13 +139,13 @@ SEGMENT = "key long, content long, doc long, spot long"
 
 
 def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text) to segments; ``spot`` packs start and windows."""
+    """Rows (doc, text) to segments; ``spot`` packs start, anchor's offset and windows."""
     for batch in batches:
         texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
         for ids, run in batches_of(batch.column(0).to_pylist(), texts):
-            owner, start, windows, key, content = segments(run)
+            owner, start, ahead, windows, key, content = segments(run)
             doc = np.array(ids, np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc, start << 8 | windows)], ["key", "content", "doc", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc, start << 16 | ahead << 8 | windows)], ["key", "content", "doc", "spot"])
 
 
 def classify(found: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_buffer().to_pybytes()
             v, rows, hot = words_at(raw), [], []
             spot = np.array([a["spot"] for a in asked], np.int64)
-            start, windows = spot >> 8, spot & 255
+            start, windows = spot >> 16, spot & 255
             fits = start + windows + WINDOW - 1 <= len(raw)
             content = np.zeros(len(spot), np.int64)
             content[fits] = content_hashes(v, start[fits], windows[fits] + WINDOW - 1).view(np.int64)
@@ -191,50 +193,109 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.array(hot, np.int64)
                 length = np.full(len(at), WINDOW, np.int64)
                 h0, h1 = (content_hashes(v, at, length, seed).view(np.int64).tolist() for seed in (1, 2))
-                rows.extend((2, a, b, doc, mark, s << 8 | 1, None) for a, b, s in zip(h0, h1, hot))
+                rows.extend((2, a, b, doc, mark, s << 16 | 1, None) for a, b, s in zip(h0, h1, hot))
             if rows:
                 columns = list(zip(*rows))
                 kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def repeated(docs: np.ndarray, parts: list[bytes]) -> list[np.ndarray]:
-    """For each segment the windows (offsets) that a segment of a smaller document has too."""
+SIDE = WINDOW - ANCHOR  # bytes of a window beside its anchor, on both sides together
+
+
+def sides(parts: list[bytes], ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes before (backwards) and after the anchors, as padded rows, and the anchors."""
+    m = len(parts)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    raw = np.frombuffer(b"".join(parts) + bytes(ANCHOR + SIDE), np.uint8)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    j = np.arange(24)[None, :]
+    at = (begin + ahead)[:, None]
+    left = np.where(j < ahead[:, None], raw[np.maximum(at - 1 - j, 0)], 255)
+    after = np.minimum(sizes - ahead - ANCHOR, SIDE)
+    right = np.where(j < after[:, None], raw[np.minimum(at + ANCHOR + j, len(raw) - 1)], 255)
+    anchors = raw[at + np.arange(ANCHOR)[None, :]]
+    return left.astype(np.uint8), right.astype(np.uint8), anchors.reshape(m, ANCHOR)
+
+
+def reach(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How far each row agrees with some other row of its group: the neighbours in sorted order agree the furthest."""
+    order = np.lexsort((*side.view(">u8").T[::-1], group))
+    rows, same = side[order], group[order][1:] == group[order][:-1]
+    differ = rows[1:] != rows[:-1]
+    agreed = np.where(differ.any(1), differ.argmax(1), side.shape[1]) * same
+    out = np.zeros(len(group), np.int64)
+    out[order] = np.maximum(np.r_[0, agreed], np.r_[agreed, 0])
+    return out
+
+
+def repeated(docs: np.ndarray, parts: list[bytes], ahead: np.ndarray) -> list[np.ndarray]:
+    """For each segment the windows (offsets) that a segment of a smaller document has too.
+
+    Segments are trimmed to what another one with their anchor may share, and
+    the anchor is one symbol; a window is then ``SIDE + 1`` symbols that hold it.
+    """
+    left, right, anchors = sides(parts, ahead)
+    _, group = np.unique(np.ascontiguousarray(anchors).view(f"V{ANCHOR}").ravel(), return_inverse=True)
     sizes = np.array([len(p) for p in parts], np.int64)
-    raw = np.frombuffer(b"\0".join(parts) + b"\0" * WINDOW, np.uint8)
-    offset = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    symbols = raw[: int(sizes.sum()) + len(parts)].astype(np.int64) + 1
-    symbols[(offset + sizes)] = 0
+    before = np.minimum(reach(group, left), np.minimum(ahead, SIDE))
+    after = np.minimum(reach(group, right), np.minimum(sizes - ahead - ANCHOR, SIDE))
+    out = [np.zeros(0, np.int64)] * len(parts)
+    kept = np.flatnonzero(before + after >= SIDE)
+    if not len(kept):
+        return out
+    before, after, group = before[kept], after[kept], group[kept]
+    length = before + after + 2  # with the anchor and a mark that ends the segment
+    begin = np.concatenate([[0], np.cumsum(length)])
+    owner = np.repeat(np.arange(len(kept)), length)
+    inside = np.arange(begin[-1]) - begin[owner]
+    symbols = np.zeros(begin[-1], np.int64)
+    k = inside < before[owner]
+    symbols[k] = left[kept[owner[k]], before[owner[k]] - 1 - inside[k]].astype(np.int64) + 1
+    k = inside == before[owner]
+    symbols[k] = 257 + group[owner[k]]
+    k = (inside > before[owner]) & (inside <= before[owner] + after[owner])
+    symbols[k] = right[kept[owner[k]], inside[k] - before[owner[k]] - 1].astype(np.int64) + 1
     order = suffix_order(symbols)
-    owner = np.repeat(np.arange(len(parts)), sizes + 1)
-    inside = order - offset[owner[order]]
-    keep = inside + WINDOW <= sizes[owner[order]]
-    order, inside = order[keep], inside[keep]
-    rows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[order]
+    place = inside[order]
+    full = (place <= before[owner[order]]) & (place + SIDE < length[owner[order]] - 1)
+    order, place = order[full], place[full]
+    rows = np.lib.stride_tricks.sliding_window_view(np.r_[symbols, np.zeros(SIDE, np.int64)], SIDE + 1)[order]
     new = np.r_[True, (rows[1:] != rows[:-1]).any(1)]
-    group = np.cumsum(new) - 1
-    doc = docs[owner[order]]
-    least = np.minimum.reduceat(doc, np.flatnonzero(new))[group]
+    doc = docs[kept[owner[order]]]
+    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
     later = doc > least
-    out: list[list[int]] = [[] for _ in parts]
-    for k, j in zip(owner[order][later].tolist(), inside[later].tolist()):
-        out[k].append(j)
-    return [np.sort(np.array(x, np.int64)) for x in out]
+    who, spot = owner[order][later], place[later]
+    spot = spot + ahead[kept[who]] - before[who]  # from the trimmed segment's start to the segment's
+    ranked = np.lexsort((spot, who))
+    who, spot = who[ranked], spot[ranked]
+    cuts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(who)]):
+        out[kept[who[a]]] = spot[a:b]
+    return out
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, row, spot, bytes) sorted by key to removed spots (doc, row, spot)."""
 
     def flush(rows):
-        found = repeated(np.array([r[1] for r in rows], np.int64), [r[4] for r in rows])
+        # a document that has a segment twice lends it once
+        first: dict[tuple, int] = {}
+        which = [first.setdefault((r[0], r[1], r[4]), len(first)) for r in rows]
+        docs = np.array([d for _, d, _ in first], np.int64)
+        ahead = np.zeros(len(first), np.int64)
+        for i, r in zip(which, rows):
+            ahead[i] = r[3] >> 8 & 255
+        found = repeated(docs, [p for _, _, p in first], ahead)
         doc, mark, spot = [], [], []
-        for (_, d, m, s, _), windows in zip(rows, found):
+        for i, (_, d, m, s, _) in zip(which, rows):
+            windows = found[i]
             if len(windows):
                 cut = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1] + 1])
                 for a, n in zip(windows[cut].tolist(), np.diff(np.r_[cut, len(windows)]).tolist()):
                     doc.append(d)
                     mark.append(m)
-                    spot.append(((s >> 8) + a) << 8 | n)
+                    spot.append(((s >> 16) + a) << 16 | n)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, mark, spot)], ["doc", "row", "spot"])
 
     rows, held = [], 0
@@ -255,7 +316,7 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             raw = text.as_buffer().to_pybytes()
             packed = np.array(spots.as_py() or [], np.int64)
-            row = cover(raw, packed >> 8, packed & 255)
+            row = cover(raw, packed >> 16, packed & 255)
             for column, x in zip(out, (doc, *row)):
                 column.append(x)
         kinds = [pa.int64()] * 4 + [pa.string()]
@@ -275,9 +336,11 @@ def cover(raw: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[int, int,
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cleaner drop the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the cleaner, which works in a thread of its own, drop the shuffle files of plans that are done."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
