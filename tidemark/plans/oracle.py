@@ -132,7 +132,7 @@ z AS (SELECT u.fixture AS "true", v.fixture AS predicted, coalesce(y.n, 0) AS n
     "window_activity": sql(BASE, WIN, "SELECT start, ts, any_active FROM wi WHERE any_active"),
     "window_arrays": sql(BASE, "SELECT w.start, arg_min(t.flow, t.idx) AS x_first, arg_max(t.flow, t.idx) AS x_last, sum(t.flow) AS x_sum, CAST(count(*) FILTER (WHERE t.valid) AS INTEGER) AS n_valid FROM (SELECT unnest(range(0, (SELECT max(idx) FROM tot) + 1, 6)) AS start) w JOIN tot t ON t.idx >= w.start AND t.idx < w.start + 12 GROUP BY 1 HAVING count(*) = 12"),
     "window_event_counts": sql(BASE, A, PRED, WIN, "SELECT p.fixture, count(DISTINCT wi.start) AS n_windows FROM p JOIN wi ON p.idx >= wi.start AND p.idx < wi.start + 12 WHERE p.flow > 2500 GROUP BY 1"),
-    "tile_owner": sql(BASE, "n AS (SELECT count(*) AS n FROM tot), x AS (SELECT idx, CAST(floor((idx - 22) / 15) AS BIGINT) * 15 AS o FROM tot)", "SELECT idx, CASE WHEN o >= 0 AND o + 60 <= n THEN o END AS owner, CASE WHEN o >= 0 AND o + 60 <= n THEN idx - o END AS position FROM x CROSS JOIN n"),
+    "tile_owner": sql(BASE, "n AS (SELECT count(*) AS n FROM tot), x AS (SELECT idx, CAST(floor((idx - 22) / 15) AS BIGINT) * 15 AS o FROM tot)", "SELECT idx, CASE WHEN o >= 0 AND o + 60 <= n THEN o ELSE -1 END AS owner, CASE WHEN o >= 0 AND o + 60 <= n THEN idx - o ELSE -1 END AS position FROM x CROSS JOIN n"),
     "partition_sizes": sql(BASE, "x AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM s)", "SELECT CASE WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, CAST(min(day) AS VARCHAR) AS first FROM x GROUP BY 1"),
     "reconciliation": sql(BASE, A, PRED, "x AS (SELECT sum(p.flow) / any_value(t.flow) AS r FROM p JOIN tot t USING (idx) WHERE t.flow > 2500 GROUP BY idx)", "SELECT count(*) AS n, min(r) AS min, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.75) AS p75, max(r) AS max FROM x"),
     "rate_allocation": sql(BASE, "SELECT 5::BIGINT AS n, count(*) AS samples, count(*) AS whole FROM tot"),
@@ -144,3 +144,15 @@ z AS (SELECT u.fixture AS "true", v.fixture AS predicted, coalesce(y.n, 0) AS n
     "unknown_codes": sql(BASE, LOOKUP, "SELECT page, symbol, count(*) AS n FROM lo WHERE fixture IS NULL GROUP BY 1, 2"),
     "iir_response": sql(BASE, "x AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY fixture, CAST(ts AS DATE) ORDER BY idx) - 1 AS i FROM s), y AS (SELECT *, count(*) OVER (PARTITION BY fixture, day) - 1 AS n FROM x WHERE i < 24)", "SELECT fixture, day, sum(flow * CASE WHEN i = 0 THEN pow(0.5, n) ELSE pow(0.5, n - i + 1) END) AS y FROM y GROUP BY 1, 2"),
 }
+
+#: Queries whose dates are shown as text, with the column.
+DATED = {
+    "regularise_users": "day",
+    "tz_shift_days": "day",
+    "local_days": "day",
+    "daily_volume": "day",
+    "labelled_days": "day",
+    "window_counts": "first_day",
+    "iir_response": "day",
+}
+ORACLE |= {name: f"SELECT * REPLACE (CAST({c} AS VARCHAR) AS {c}) FROM ({ORACLE[name]})" for name, c in DATED.items()}

@@ -18,7 +18,13 @@ KEY = ["fixture"]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    """Register ``f``; its result shows dates as text."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -323,7 +329,8 @@ def window_event_counts(spark, d):
 @query
 def tile_owner(spark, d):
     rows = ad.total(ad.samples(spark, d))
-    return windows.tile_owner(rows.select("idx"), rows.count(), 60, 15)
+    owned = windows.tile_owner(rows.select("idx"), rows.count(), 60, 15)
+    return owned.select("idx", *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("owner", "position")))
 
 
 @query
