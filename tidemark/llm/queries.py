@@ -45,7 +45,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
-    return url_lists.evaluate(url_lists.page_captures(pages), url_lists.host_list(pages))
+    found = url_lists.evaluate(url_lists.page_captures(pages), url_lists.host_list(pages))
+    return found.withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

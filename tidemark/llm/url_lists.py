@@ -91,7 +91,7 @@ f AS (SELECT *, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS valid_fr
 a AS (SELECT p.page_id, f.pattern, f.category FROM p JOIN f ON f.listed AND (p.url_host = f.pattern OR p.url_host LIKE '%.' || f.pattern)
       AND p.fetched_at >= f.valid_from AND (f.valid_to IS NULL OR p.fetched_at < f.valid_to)),
 g AS (SELECT page_id, count(*) AS n, count(DISTINCT category) AS c, arg_max(pattern, length(pattern)) AS url_pattern FROM a GROUP BY page_id)
-SELECT p.page_id, p.url, p.fetched_at, p.url_host, coalesce(g.n, 0)::BIGINT AS url_entries, coalesce(g.c, 0)::BIGINT AS url_categories, g.url_pattern,
+SELECT p.page_id, p.url, CAST(p.fetched_at AS VARCHAR) AS fetched_at, p.url_host, coalesce(g.n, 0)::BIGINT AS url_entries, coalesce(g.c, 0)::BIGINT AS url_categories, g.url_pattern,
        g.n IS NOT NULL AS url_blocked
 FROM p LEFT JOIN g USING (page_id)
 """
