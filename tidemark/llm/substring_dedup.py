@@ -8,6 +8,8 @@ that the least of its hashed 5-byte strings selects (counted modulo 23), so equa
 windows have equal anchors wherever they stand, and neighbouring windows mostly
 share one. A run of windows with one anchor is a segment of at most 72 bytes.
 
+0. Of documents with equal texts (at least 50 bytes) the first alone is drawn on;
+   the others go whole.
 1. Segments (anchor, content hash, document, place) are dealt by anchor. Anchors
    in one document only fall out. A segment whose content an earlier document
    has is removed whole. What is left of a shared anchor, the first holders of
@@ -47,6 +49,7 @@ GRAM = 5  # ANCHOR mod STEP, so that the selected anchors move forward with the
 HOT_HOLDERS = 500
 BATCH_BYTES = 1 << 20
 SORT_BYTES = 1 << 19
+BROADCAST_COPIES = 1_000_000
 LAST_ID = (1 << 63) - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -343,6 +346,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+def copies_of(rows: DataFrame) -> DataFrame:
+    """doc, row of the texts of at least a window that a smaller doc has word for word (by a 128-bit hash)."""
+    marked = rows.filter(F.octet_length("text") >= WINDOW).select("doc", "row", F.xxhash64("text").alias("h0"), F.xxhash64("text", F.lit(1)).alias("h1"))
+    least = marked.groupBy("h0", "h1").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return staged(marked.join(least, ["h0", "h1"]).filter("doc > least").select("doc", "row").distinct(), "copies")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
@@ -350,6 +360,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     repeats = not rows.groupBy("doc").count().filter("count > 1").isEmpty()
     rows = rows.select("doc", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("row"), "text")
+    copies = copies_of(rows)
+    small = copies.count() <= BROADCAST_COPIES  # two longs each; beyond that the table is shuffled
+    side = F.broadcast(copies) if small else copies
+    whole_rows = rows.join(side, ["doc", "row"], "left_semi")
+    rows = rows.join(side, ["doc", "row"], "left_anti")
     known = staged(classify(rows.filter(F.octet_length("text") >= WINDOW).select("doc", "text").mapInArrow(draw, SEGMENT)), "shared-segments")
     release(spark)
     asked = known if repeats else known.filter("kind > 0")
@@ -368,4 +383,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     done = rows.join(spots, ["doc", "row"], "left").select("doc", "text", "spots").mapInArrow(
         finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+    size = F.octet_length("text").cast("long")
+    gone = whole_rows.select("doc", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    done = done.unionByName(gone)
     return done.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
