@@ -50,11 +50,14 @@ class ChunkEncoder:
         for k, a, b in zip(chunks, begin, end):
             cache[k] = raw[4 * a : 4 * b]
 
-    def learn(self, missing: list[str]) -> None:
-        """Put the ids of chunks into the cache: one call for all, cut at marks."""
+    def thin(self) -> None:
+        """Drop the long chunks of a full cache, or all."""
         if len(self.cache) > CACHE_ENTRIES:
             kept = {k: v for k, v in self.cache.items() if len(k) <= KEPT_CHUNK}
             self.cache = kept if 2 * len(kept) < CACHE_ENTRIES else {}
+
+    def learn(self, missing: list[str]) -> None:
+        """Put the ids of chunks into the cache: one call for all, cut at marks."""
         cache = self.cache
         if self.kind == "byte":
             plain = [k for k in missing if k]
@@ -92,11 +95,9 @@ class ChunkEncoder:
         try:
             return head + b"".join([self.cache[k] for k in chunks])
         except KeyError:
+            self.thin()
             self.learn([k for k in dict.fromkeys(chunks) if k not in self.cache])
-        missing = [k for k in dict.fromkeys(chunks) if k not in self.cache]
-        if missing:  # the cache was thinned out meanwhile
-            self.learn(missing)
-        return head + b"".join([self.cache[k] for k in chunks])
+            return head + b"".join([self.cache[k] for k in chunks])
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:
