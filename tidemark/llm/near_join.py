@@ -6,9 +6,9 @@ representatives' signatures of ``DEPTH`` values; matched prefixes are shortened
 from the full depth until a pair at the threshold meets in some tree with
 probability ``RECALL``. Representatives that share a prefix of that length are
 linked to the least one among them, and the components of these links are the
-groups to verify. Every group is verified whole: its members, ordered by set
-size, are cut into blocks, and each pair of blocks whose sizes can reach the
-threshold is one unit of work that counts common shingles. Units send on link
+groups to verify. Every group is verified whole: its members are cut into
+blocks by set size, and each pair of blocks whose sizes can reach the threshold
+is one unit of work that counts common shingles. Units send on link
 counts and a spanning forest, never pairs.
 
 A row is returned for each document: class_id (least doc_id of its component of
@@ -195,21 +195,29 @@ def verify(unit: list[tuple], threshold: float) -> tuple[dict[int, int], list[tu
 
 
 def units(members: DataFrame, threshold: float) -> DataFrame:
-    """group, rep, n, copies to unit, side: block pairs of each group whose set sizes can reach the threshold."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("component").orderBy("n", "rep")
-    placed = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a = blocks.select("component", F.col("block").alias("a"), F.col("most").alias("a_most"))
-    b = blocks.select("component", F.col("block").alias("b"), F.col("least").alias("b_least"))
-    # blocks follow set size: block a reaches up to the last b whose least size is within the threshold
-    pairs = a.join(b, "component").filter("b >= a").filter(F.col("a_most") >= F.floor(F.lit(threshold) * F.col("b_least")))
-    pairs = pairs.select("component", "a", "b")
+    """component, rep, copies and the units of work (block pairs) that a representative belongs to.
+
+    A group of at most ``BLOCK`` members is one block. A larger one is cut by
+    set size into bins as wide as the threshold (sets at the threshold lie in
+    one bin or in neighbours) and each bin by hash into blocks; counting them
+    needs no task to see a whole group.
+    """
+    totals = members.groupBy("component").agg(F.count("*").alias("total"))
+    width = math.log(1 / threshold) if threshold < 1 else 1.0
+    size = F.when(F.col("total") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log("n") / F.lit(width) + F.lit(1e-9)).cast("int") + 1)
+    binned = members.join(totals, "component").withColumn("bin", size)
+    parts = binned.groupBy("component", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    name = lambda bin_, part: (bin_ * (1 << 20) + part).cast("int")
+    placed = binned.join(parts, ["component", "bin"]).withColumn("block", name(F.col("bin"), F.pmod("rep", "parts")))
+    blocks = parts.select("component", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("component", "bin", name(F.col("bin"), F.col("part")).alias("block"))
+    a = blocks.select("component", F.col("block").alias("a"), F.col("bin").alias("a_bin"))
+    b = blocks.select("component", F.col("block").alias("b"), F.col("bin").alias("b_bin"))
+    pairs = a.join(b, "component").filter("b >= a AND b_bin - a_bin <= 1").select("component", "a", "b")
     sides = pairs.select("component", "a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.filter("a <> b").select("component", "a", "b", F.col("b").alias("block"), F.lit(1).alias("side"))
     )
-    dealt = sides.groupBy("component", "block").agg(F.collect_list(F.struct(F.hash("component", "a", "b").alias("h"), "a", "b", "side")).alias("units"))
+    dealt = sides.groupBy("component", "block").agg(F.collect_list(F.struct("a", "b", "side")).alias("units"))
     return placed.join(dealt, ["component", "block"]).select("component", "rep", "copies", "units")
 
 

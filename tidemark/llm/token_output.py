@@ -38,7 +38,7 @@ SHARD_BYTES = 8 << 20
 DICT_DOCS = 800
 DICT_DOC_CHARS = 65_536
 DICT_BYTES = 64 << 10
-LEVEL = 3
+LEVEL = 1
 
 
 def id_dtype(width: int) -> str:
