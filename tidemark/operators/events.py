@@ -59,10 +59,10 @@ def stagnation(events: DataFrame, period_s: float) -> DataFrame:
     return events.select("fixture", "start_idx", hours.alias("hours")).filter("hours IS NOT NULL")
 
 
-def match_pairs(pred: DataFrame, lab: DataFrame, min_iou: float = 0.5, key: tuple[str, ...] = ("fixture",), checkpoint=None) -> DataFrame:
+def match_pairs(pred: DataFrame, lab: DataFrame, min_iou: float = 0.5, key: tuple[str, ...] = ("fixture",)) -> DataFrame:
     """One-to-one pairs with iou >= min_iou, greedy by descending iou."""
     pairs = iou(overlap_join(pred, lab, list(key))).filter(F.col("iou") >= min_iou)
-    return mutual_best(pairs, [*key, "l_start_idx", *(["l_fixture"] if not key else [])], [*key, "r_start_idx", *(["r_fixture"] if not key else [])], "iou", checkpoint)
+    return mutual_best(pairs, [*key, "l_start_idx", *(["l_fixture"] if not key else [])], [*key, "r_start_idx", *(["r_fixture"] if not key else [])], "iou")
 
 
 def match_counts(pred: DataFrame, lab: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -77,12 +77,12 @@ def match_counts(pred: DataFrame, lab: DataFrame, pairs: DataFrame) -> DataFrame
     )
 
 
-def search_thresholds(predictions: DataFrame, labelled: DataFrame, rates: DataFrame, off_ratio: float, min_samples: int, max_gap: int, fractions=FRACTIONS, min_iou: float = 0.5, checkpoint=None) -> tuple[DataFrame, DataFrame]:
+def search_thresholds(predictions: DataFrame, labelled: DataFrame, rates: DataFrame, off_ratio: float, min_samples: int, max_gap: int, fractions=FRACTIONS, min_iou: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(search table, best) over all fixtures and fractions in one plan; the first of equal scores wins."""
     grid = predictions.join(F.broadcast(rates.select("fixture", "rate")), "fixture").withColumn("frac", F.explode(F.array(*map(F.lit, fractions))))
     found = segment(grid, F.col("rate") * F.col("frac"), F.col("rate") * F.col("frac") * off_ratio, min_samples, max_gap, ["fixture", "frac"], use_valid="valid" in predictions.columns)
     truth = labelled.select("fixture", "start_idx", "end_idx").withColumn("frac", F.explode(F.array(*map(F.lit, fractions))))
-    pairs = match_pairs(found.select("fixture", "frac", "start_idx", "end_idx"), truth, min_iou, ("fixture", "frac"), checkpoint)
+    pairs = match_pairs(found.select("fixture", "frac", "start_idx", "end_idx"), truth, min_iou, ("fixture", "frac"))
     tp = pairs.groupBy("fixture", "frac").agg(F.count("*").alias("tp"))
     n = found.groupBy("fixture", "frac").agg(F.count("*").alias("n_pred"))
     t = truth.groupBy("fixture", "frac").agg(F.count("*").alias("n_labelled"))

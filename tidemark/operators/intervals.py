@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def isolated(events: DataFrame, start: str = "start_idx", end: str = "end_idx", tie: tuple[str, ...] = ()) -> DataFrame:
     """Events that overlap no other row, by running extremes instead of a self-join.
@@ -75,25 +77,29 @@ def merge_close(events: DataFrame, min_gap: float | Column, key: list[str]) -> D
     return numbered.groupBy(*key, "mc_g").agg(*columns, F.count("*").alias("n_merged")).drop("mc_g")
 
 
-def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str, checkpoint=None, max_rounds: int = 50) -> DataFrame:
+def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str, max_rounds: int = 200) -> DataFrame:
     """One-to-one greedy matching by descending score under the total order (score, left, right).
 
     Pairs that are best for both of their sides are kept, their sides leave,
-    and the rest is matched again; equal to taking pairs one by one.
+    and the rest is matched again; equal to taking pairs one by one. The pairs
+    and what each round leaves are tables in the shared folder, so plans stay
+    short; most inputs need a round or two.
     """
-    kept, rest = None, pairs
+    order = [F.desc(score), *left, *right]
+    a = F.row_number().over(Window.partitionBy(*left).orderBy(*order))
+    b = F.row_number().over(Window.partitionBy(*right).orderBy(*order))
+    kept, rest = [], staged(pairs, "pairs")
     for _ in range(max_rounds):
-        order = [F.desc(score), *left, *right]
-        a = F.row_number().over(Window.partitionBy(*left).orderBy(*order))
-        b = F.row_number().over(Window.partitionBy(*right).orderBy(*order))
-        ranked = rest.withColumn("mb_a", a).withColumn("mb_b", b)
+        ranked = staged(rest.withColumn("mb_a", a).withColumn("mb_b", b), "ranked-pairs")
         best = ranked.filter("mb_a = 1 AND mb_b = 1").drop("mb_a", "mb_b")
-        if checkpoint:
-            best = checkpoint(best)
-        kept = best if kept is None else kept.unionByName(best)
-        rest = rest.join(best.select(*left).distinct(), left, "left_anti").join(best.select(*right).distinct(), right, "left_anti").select(pairs.columns)
-        if checkpoint:
-            rest = checkpoint(rest)
+        kept.append(best)
+        out = ranked.filter("mb_a > 1 OR mb_b > 1").drop("mb_a", "mb_b")
+        if out.isEmpty():
+            break
+        rest = out.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti").select(pairs.columns)
         if rest.isEmpty():
             break
-    return kept
+    found = kept[0]
+    for part in kept[1:]:
+        found = found.unionByName(part)
+    return found

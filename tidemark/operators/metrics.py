@@ -19,31 +19,31 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return counts.withColumn("precision", p).withColumn("recall", r).withColumn("f1", f1)
 
 
-def event_metrics(pred: DataFrame, lab: DataFrame, min_iou: float = 0.5, checkpoint=None) -> DataFrame:
-    return with_scores(match_counts(pred, lab, match_pairs(pred, lab, min_iou, ("fixture",), checkpoint)))
+def event_metrics(pred: DataFrame, lab: DataFrame, min_iou: float = 0.5) -> DataFrame:
+    return with_scores(match_counts(pred, lab, match_pairs(pred, lab, min_iou, ("fixture",))))
 
 
-def detection_counts(pred: DataFrame, lab: DataFrame, min_iou: float = 0.5, checkpoint=None) -> DataFrame:
+def detection_counts(pred: DataFrame, lab: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """tp, fp, fn with fixtures ignored."""
     one = lambda df: df.select(F.lit("any").alias("fixture"), F.col("fixture").alias("of"), "start_idx", "end_idx")
-    return with_scores(match_counts(one(pred), one(lab), match_detection(one(pred), one(lab), min_iou, checkpoint))).drop("fixture")
+    return with_scores(match_counts(one(pred), one(lab), match_detection(one(pred), one(lab), min_iou))).drop("fixture")
 
 
-def match_detection(pred: DataFrame, lab: DataFrame, min_iou: float, checkpoint=None) -> DataFrame:
+def match_detection(pred: DataFrame, lab: DataFrame, min_iou: float) -> DataFrame:
     from .intervals import iou, mutual_best, overlap_join
 
     pairs = iou(overlap_join(pred, lab, ["fixture"])).filter(F.col("iou") >= min_iou)
-    return mutual_best(pairs, ["l_start_idx", "l_of"], ["r_start_idx", "r_of"], "iou", checkpoint)
+    return mutual_best(pairs, ["l_start_idx", "l_of"], ["r_start_idx", "r_of"], "iou")
 
 
-def class_metrics(pred: DataFrame, lab: DataFrame, classes: DataFrame, min_iou: float = 0.5, checkpoint=None) -> DataFrame:
+def class_metrics(pred: DataFrame, lab: DataFrame, classes: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Scores after relabelling to categories and matching anew (events of a class may overlap)."""
     relabel = lambda df: df.join(F.broadcast(classes), "fixture", "left").select(F.coalesce("category", F.lit("other")).alias("fixture"), F.col("fixture").alias("of"), "start_idx", "end_idx")
     from .intervals import iou, mutual_best, overlap_join
 
     p, t = relabel(pred), relabel(lab)
     pairs = iou(overlap_join(p, t, ["fixture"])).filter(F.col("iou") >= min_iou)
-    best = mutual_best(pairs, ["fixture", "l_start_idx", "l_of"], ["fixture", "r_start_idx", "r_of"], "iou", checkpoint)
+    best = mutual_best(pairs, ["fixture", "l_start_idx", "l_of"], ["fixture", "r_start_idx", "r_of"], "iou")
     return with_scores(match_counts(p, t, best)).withColumnRenamed("fixture", "category")
 
 
@@ -102,7 +102,7 @@ class Evaluation:
         return "\n".join(f"{r.fixture:<12} tp {r.tp:>5} fp {r.fp:>5} fn {r.fn:>5} f1 {r.f1:.3f}" for r in rows)
 
 
-def evaluate(pred_events, lab_events, pred_flow, lab_flow, fixtures: DataFrame, period_s: float, floor: float, days=None, valid=None, min_iou: float = 0.5, min_events: int = 3, restrict_all: bool = False, checkpoint=None) -> Evaluation:
+def evaluate(pred_events, lab_events, pred_flow, lab_flow, fixtures: DataFrame, period_s: float, floor: float, days=None, valid=None, min_iou: float = 0.5, min_events: int = 3, restrict_all: bool = False) -> Evaluation:
     """All scores. ``days`` limits events and volumes, and samples too with ``restrict_all``."""
     if days is not None:
         keep = lambda df, c: df.join(days.select(F.col("day").alias(c)), c, "left_semi")
@@ -112,12 +112,12 @@ def evaluate(pred_events, lab_events, pred_flow, lab_flow, fixtures: DataFrame,
             pred_flow, lab_flow = slim(pred_flow), slim(lab_flow)
     cols = ["fixture", "start_idx", "end_idx"]
     p, t = pred_events.select(*cols), lab_events.select(*cols)
-    per = event_metrics(p, t, min_iou, checkpoint)
+    per = event_metrics(p, t, min_iou)
     per = per.join(volume_metrics(pred_flow, lab_flow, period_s, days).withColumnRenamed("mae", "volume_mae").withColumnRenamed("bias", "volume_bias"), "fixture", "full")
     per = per.join(sample_metrics(pred_flow, lab_flow, floor, valid), "fixture", "full")
     per = per.withColumn("sufficient_support", F.coalesce(F.col("n_labelled") >= min_events, F.lit(False)))
     named = per.join(F.broadcast(fixtures.select("fixture", "label", "category")), "fixture", "left").withColumn("category", F.coalesce("category", F.lit("other")))
-    return Evaluation(named, class_metrics(p, t, fixtures.select("fixture", "category"), min_iou, checkpoint), detection_counts(p, t, min_iou, checkpoint), confusion(pred_flow, lab_flow, fixtures, floor))
+    return Evaluation(named, class_metrics(p, t, fixtures.select("fixture", "category"), min_iou), detection_counts(p, t, min_iou), confusion(pred_flow, lab_flow, fixtures, floor))
 
 
 _LATEX = str.maketrans({"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"})
