@@ -23,13 +23,26 @@ def test_chunks_give_the_ids_of_the_whole_text(path, kind):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
-def test_thinned_cache_still_encodes(monkeypatch):
-    monkeypatch.setattr("tidemark.llm.tokens.CACHE_ENTRIES", 3)
+def test_emptied_table_still_encodes(monkeypatch):
+    monkeypatch.setattr("tidemark.llm.tokens.ENTRIES", 3)
     enc, tok = ChunkEncoder(BYTE, "byte"), Tokenizer.from_file(BYTE)
     for text in ("alpha beta gamma delta epsilon", "beta zeta eta theta alpha", "iota kappa lambda mu alpha beta"):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text).ids
 
 
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_batches_of_random_texts(path, kind, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.tokens.BATCH_CHARS", 400)
+    enc, tok = ChunkEncoder(path, kind), Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    parts = ["alpha", "Beta's", "12,5", "é", "x|y", "|", "\n", "\t", "  ", "naïve", "日本", "a\nb", "."]
+    for _ in range(20):
+        texts = [" ".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(15)] + [None, ""]
+        for text, ids in zip(texts, enc.encode_many(texts)):
+            assert ids.tolist() == tok.encode(text or "", add_special_tokens=False).ids, text
+
+
 def brute(rows):
     tok = Tokenizer.from_file(BYTE)
     out, start = [], 0

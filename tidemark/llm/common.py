@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import discard, remove, shared_dir, staged, work_path
+
+__all__ = ["SPACE_CLASS", "arrow_rows", "discard", "load", "remove", "shared_dir", "staged", "words_of", "work_path"]
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -23,45 +24,6 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is made
-    only where that setting is absent, as in tests on one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a durable cut of the lineage."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.staged_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table made by :func:`staged` that no later plan reads."""
-    path = getattr(df, "staged_path", None)
-    if path:
-        remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def words_of(text):
     """Column: the words of a text as an array (null and blank texts: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

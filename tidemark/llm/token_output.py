@@ -129,15 +129,14 @@ def write_tokens(
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
         enc = encoder(tokenizer_path, "byte")
-        end = np.array([end_id], "<u4").tobytes()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([_shard(part, number, id_width, digest, rows)], pa.binary())], ["value"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
-                frame = press.compress(ids.astype(kind).tobytes())
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist())):
+                ids = np.append(found, end_id).astype(kind)
+                frame = press.compress(ids.tobytes())
                 rows.append((doc_id, len(ids), frame))
                 held += len(frame)
                 if held >= shard_bytes:
