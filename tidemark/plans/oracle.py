@@ -142,7 +142,10 @@ z AS (SELECT u.fixture AS "true", v.fixture AS predicted, coalesce(y.n, 0) AS n
     "diary_parse": "SELECT event_id, date_trunc('second', ts) AS start FROM events",
     "diary_lookup": sql(BASE, LOOKUP, "SELECT fixture, page, symbol, count(*) AS n FROM lo GROUP BY 1, 2, 3"),
     "unknown_codes": sql(BASE, LOOKUP, "SELECT page, symbol, count(*) AS n FROM lo WHERE fixture IS NULL GROUP BY 1, 2"),
-    "iir_response": sql(BASE, "x AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY fixture, CAST(ts AS DATE) ORDER BY idx) - 1 AS i FROM s), y AS (SELECT *, count(*) OVER (PARTITION BY fixture, day) - 1 AS n FROM x WHERE i < 24)", "SELECT fixture, day, sum(flow * CASE WHEN i = 0 THEN pow(0.5, n) ELSE pow(0.5, n - i + 1) END) AS y FROM y GROUP BY 1, 2"),
+    "iir_response": "WITH RECURSIVE " + ",".join([BASE, """
+x AS (SELECT fixture, CAST(ts AS DATE) AS day, flow, row_number() OVER (PARTITION BY fixture, CAST(ts AS DATE) ORDER BY idx) - 1 AS i FROM s),
+z AS (SELECT fixture, day, i, flow AS y FROM x WHERE i = 0 UNION ALL
+      SELECT x.fixture, x.day, x.i, z.y + 0.5::DOUBLE * (x.flow - z.y) FROM z JOIN x ON x.fixture = z.fixture AND x.day = z.day AND x.i = z.i + 1)"""]) + "\nSELECT fixture, day, arg_max(y, i) AS y FROM z GROUP BY 1, 2",
 }
 
 #: Queries whose dates are shown as text, with the column.

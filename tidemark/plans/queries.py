@@ -422,11 +422,9 @@ def unknown_codes(spark, d):
 
 @query
 def iir_response(spark, d):
-    """The filter's value after the first 24 samples of each fixture and day; a pole of one half is exact in binary."""
+    """The filter's last value over each fixture's day."""
     rows = ad.samples(spark, d).withColumn("day", day_of("ts"))
-    order = Window.partitionBy("fixture", "day").orderBy("idx")
-    first = rows.withColumn("n", F.row_number().over(order)).filter("n <= 24")
-    held = first.groupBy("fixture", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "flow"))), lambda s: s["flow"]).alias("x"))
+    held = rows.groupBy("fixture", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "flow"))), lambda s: s["flow"]).alias("x"))  # a day's samples
     return held.select("fixture", "day", F.element_at(one_pole(F.col("x"), 0.5), -1).alias("y"))
 
 
