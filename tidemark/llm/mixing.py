@@ -15,8 +15,8 @@ through the driver, and a document's rate is refolded from them.
 of the row falls below the remainder. Texts without words (null ones too) have
 the priors as posteriors, no effect on totals and rate 1. Null and unlabelled
 ids are classified like others; of repeated labels of an id the least text
-form holds. Without labelled rows there is one domain, ``all``, and every rate
-is the ratio of its target. Domains that labels name but documents never show
+form holds. Without labelled rows there is one domain, ``all``; unless the
+weights name it, every rate is 1. Domains that labels name but documents never show
 are left out of the fit, and the other targets share their weight. Repeated
 rows get rates of their own. Empty tables give no rows. Extra columns pass
 through; the added ones start with ``mix_``.
