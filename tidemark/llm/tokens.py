@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-ENTRIES = 3_000_000
+ENTRIES = 2_000_000
 BATCH_CHARS = 1 << 20
 _ODD_SPACES = re.compile(r"\s (?:\s|\Z)")
 _NOT_SPACES = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
