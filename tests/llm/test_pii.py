@@ -66,3 +66,12 @@ def test_sanitise(spark):
     assert got == {1: ("mail [EMAIL], ip [IP] end", 25), 2: (None, 7), 3: ("", 0), 4: ("none", 4)}
     assert P.sanitise(edge(spark)).columns == edge(spark).columns
     assert P.sanitise(empty(spark)).collect() == []
+
+
+def test_one_or_two_lines_disclose_terms(spark):
+    rows = [(1, "head\nAb Quill jo@x.org +1 (386) 555-3733\ntail"), (2, "Vex said ann@y.org"), (3, "ann@y.org knows Vex"), (4, "the common kim@z.org the")]
+    rows += [(100 + k, f"the common line {k}\nhas other words {k} said knows head tail {k // 2}") for k in range(1500)]
+    got = {r.doc_id: r.s for r in P.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", P.span_text(F.col("spans")).alias("s")).collect()}
+    assert got[1].startswith("term:5:7,term:8:13,email:14:22,phone:")
+    assert got[2] == "term:0:3,email:9:18" and got[3] == "email:0:9,term:16:19"
+    assert got[4] == "email:11:20" and got[100] == ""

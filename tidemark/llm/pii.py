@@ -7,12 +7,12 @@ its start, so the first place at which a match's own characters occur after
 the match before is the place where the pattern found it.
 
 The method adds spans of kind ``term``. Every valid match is a protected
-entity; its context is the ``CONTEXT_WORDS`` words on either side, and equal
-contexts count once, so copies lend no support. Over the whole corpus a term
+entity; its context is the words of its line, ``CONTEXT_WORDS`` on either side,
+and equal lines count once, so copies lend no support. Over the corpus's lines a term
 reveals entity e by log2(p(e | term) / p(e)) bits, p(e | term) being the share
-of e among the term's contexts, or among its distinct lines where those are more. Terms with at least
-``MIN_SUPPORT`` contexts, p(e | term) >= ``MIN_SHARE`` and ``MIN_BITS`` bits
-exceed the disclosure threshold: their occurrences become spans wherever they
+of the term's distinct lines that have it near e, smoothed by one more line without e. Terms with
+p(e | term) >= ``MIN_SHARE`` (unsmoothed), ``MIN_BITS`` bits and ``MIN_EVIDENCE`` bits over all of their lines with e
+exceed the disclosure threshold, so one line is enough in a corpus of some thousand lines: their occurrences become spans wherever they
 stand, unless a base span covers them. :func:`sanitise` generalises spans to
 their kind.
 
@@ -39,10 +39,11 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 ORDER = {k: i for i, k in enumerate([*KINDS, "term"])}
 CONTEXT_WORDS = 5
-MIN_SUPPORT = 5
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
+MIN_EVIDENCE = 10.0  # chance brings a term and an entity together less often than once in 2^10
 BROADCAST_TERMS = 20_000
+WORD = r"\p{L}\p{M}\p{N}"
 SPAN = "struct<start:int,ord:int,stop:int,value:string>"
 
 
@@ -109,55 +110,57 @@ def of_kind(spans: str, kind: str) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct lower-case runs of at least four letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+    """Distinct lower-case runs of letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), f"[^{WORD}]+"), lambda w: w != ""))
 
 
 def contexts(spanned: DataFrame) -> DataFrame:
-    """entity, context: distinct texts of the words around each entity, with all base spans of the text blanked."""
+    """entity, line (hash), context: the words around each entity in its line, with all base spans blanked."""
     text = F.coalesce("text", F.lit(""))
-    hit = spanned.filter(F.size("base") > 0).select(text.alias("text"), "base", F.explode("base").alias("span"))
+    hit = spanned.filter(F.size("base") > 0).select(text.alias("text"), F.explode("base").alias("span"))
+    before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("span.start")), "\n", -1)
+    after = F.substring_index(F.substring(F.col("text"), F.col("span.stop") + 1, F.length("text")), "\n", 1)
+    hit = hit.select(F.lower("span.value").alias("entity"), F.xxhash64(before, "span.value", after).alias("line"), F.split(before, SPACE_CLASS).alias("b"), F.split(after, SPACE_CLASS).alias("a"))
     side = lambda words: F.array_join(words, " ")
-    before = F.split(F.substring(F.col("text"), F.lit(1), F.col("span.start")), SPACE_CLASS)
-    after = F.split(F.substring(F.col("text"), F.col("span.stop") + 1, F.length("text")), SPACE_CLASS)
-    context = F.concat_ws(
-        " ", side(F.slice(before, F.greatest(F.size(before) - CONTEXT_WORDS, F.lit(1)), F.lit(CONTEXT_WORDS + 1))), side(F.slice(after, 1, CONTEXT_WORDS + 1))
-    )
+    first = F.greatest(F.size("b") - CONTEXT_WORDS, F.lit(1))
+    context = F.concat_ws(" ", side(F.slice("b", first, F.lit(CONTEXT_WORDS + 1))), side(F.slice("a", 1, CONTEXT_WORDS + 1)))
     for pattern in PATTERNS.values():
         context = F.regexp_replace(context, pattern, " ")
-    return hit.select(F.lower("span.value").alias("entity"), context.alias("context")).distinct()
+    return hit.select("entity", "line", context.alias("context")).distinct()
 
 
-def disclosing_terms(spanned: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame | None:
-    """Terms above the disclosure threshold with their entity, share and bits; None where no term has the support."""
-    near = contexts(spanned)
-    pairs = near.select("entity", F.explode(terms_of(F.col("context"))).alias("term"))
-    joint = staged(pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")), "joint-terms")
-    near_any = joint.groupBy("term").agg(F.sum("joint").alias("near_any"))
-    likely = joint.filter(F.col("joint") >= min_support).join(near_any, "term").filter(F.col("joint") >= min_share * F.col("near_any"))
-    joint = staged(likely, "likely-terms")
+def disclosing_terms(spanned: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS, min_evidence: float = MIN_EVIDENCE) -> DataFrame | None:
+    """Terms above the disclosure threshold in each text that holds them: pii_h, pii_n (hash and length), term; None where no entity has a term."""
+    near = staged(contexts(spanned), "entity-contexts")
+    pairs = near.select("entity", "line", F.explode(terms_of(F.col("context"))).alias("term")).distinct()
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"))
+    near_any = pairs.select("term", "line").distinct().groupBy("term").agg(F.count("*").alias("near_any"))
+    # a term has at least as many lines as it has near entities
+    joint = staged(joint.join(near_any, "term").filter(F.col("joint") >= min_share * F.col("near_any")).drop("near_any"), "joint-terms")
     if joint.isEmpty():
         return None
-    wanted = small(joint.select("term").distinct())
-    lines = spanned.select(F.explode(F.split("text", "\n")).alias("line")).filter("line != ''")
-    held = lines.select(F.xxhash64("line").alias("line"), F.explode(terms_of(F.col("line"))).alias("term")).join(wanted, "term", "left_semi")
-    totals = held.groupBy("term", "line").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("lines"))
-    n = spanned.select(F.coalesce(F.sum(F.size(F.split("text", "\n"))), F.lit(0))).first()[0]
-    entity = near.groupBy("entity").agg(F.count("*").alias("entity_contexts"))
-    share = F.col("joint") / F.greatest("lines", "near_any")
-    bits = F.log2(share * F.lit(float(max(n, 1))) / F.col("entity_contexts"))
-    scored = joint.join(totals, "term").join(entity, "entity").select("term", "entity", share.alias("share"), bits.alias("bits"))
-    return staged(scored.filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits)), "disclosing-terms")
+    wanted = small(joint.select(F.xxhash64("term").alias("t")).distinct())
+    lines = spanned.select(F.xxhash64("text").alias("pii_h"), F.length("text").alias("pii_n"), F.explode(F.split("text", "\n")).alias("line")).filter("line != ''")
+    n = lines.agg(F.approx_count_distinct(F.xxhash64("line"), 0.01)).first()[0]
+    held = lines.select("pii_h", "pii_n", F.xxhash64("line").alias("line"), F.explode(terms_of(F.col("line"))).alias("term"))
+    held = staged(held.withColumn("t", F.xxhash64("term")).join(wanted, "t", "left_semi").drop("t"), "term-places")
+    totals = held.select("term", "line").distinct().groupBy("term").agg(F.count("*").alias("lines"))
+    entity = near.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("entity_lines"))
+    scored = joint.join(totals, "term").join(entity, "entity")
+    bits = F.log2(F.col("joint") / (F.col("lines") + 1) * F.lit(float(max(n, 1))) / F.col("entity_lines"))
+    telling = (F.col("joint") >= min_share * F.col("lines")) & (bits >= min_bits) & (F.col("joint") * bits >= min_evidence)
+    return held.join(scored.filter(telling).select("term").distinct(), "term", "left_semi").select("pii_h", "pii_n", "term").distinct()
 
 
-def small(terms: DataFrame) -> DataFrame:
-    """Broadcast a table of terms only where it is counted to be small; else it is shuffled."""
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+def small(terms: DataFrame, times: int = 50) -> DataFrame:
+    """Broadcast a table of hashes only where it is counted to be small; else it is shuffled."""
+    limit = times * BROADCAST_TERMS
+    return F.broadcast(terms) if terms.limit(limit + 1).count() <= limit else terms
 
 
 def term_spans(text: Column, terms: Column) -> Column:
-    """Whole-word places of ``terms`` (letters only) in ``text``, upper or lower case."""
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(terms), "|"), F.lit(r")(?!\p{L})"))
+    """Whole-word places of ``terms`` (letters and digits) in ``text``, upper or lower case."""
+    pattern = F.concat(F.lit(f"(?iu)(?<![{WORD}])(?:"), F.array_join(F.array_sort(terms), "|"), F.lit(f")(?![{WORD}])"))
     pieces = F.call_function("split", text, pattern)
     found = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
 
@@ -174,16 +177,10 @@ def with_spans(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (base and term spans by start, then kind)."""
     spanned = with_base_spans(docs)
     risky = disclosing_terms(spanned, **thresholds)
-    if risky is None or risky.isEmpty():
+    if risky is None:
         return spanned.withColumn("spans", F.col("base"))
-    terms = [r.term for r in risky.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
-    if len(terms) <= BROADCAST_TERMS:  # letters only, so a comma parts them
-        known = F.split(F.lit(",".join(sorted(terms))), ",")
-        found = spanned.withColumn("pii_terms", F.array_intersect(terms_of(F.col("text")), known))
-    else:
-        held = spanned.select(F.xxhash64("text").alias("pii_h"), F.length("text").alias("pii_n"), F.explode(terms_of(F.col("text"))).alias("term"))
-        held = held.join(risky.select("term").distinct(), "term", "left_semi").groupBy("pii_h", "pii_n").agg(F.collect_set("term").alias("pii_terms"))
-        found = spanned.withColumns({"pii_h": F.xxhash64("text"), "pii_n": F.length("text")}).join(held, ["pii_h", "pii_n"], "left").drop("pii_h", "pii_n")
+    held = small(staged(risky.groupBy("pii_h", "pii_n").agg(F.collect_set("term").alias("pii_terms")), "disclosing-terms"), 1)
+    found = spanned.withColumns({"pii_h": F.xxhash64("text"), "pii_n": F.length("text")}).join(held, ["pii_h", "pii_n"], "left").drop("pii_h", "pii_n")
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     added = F.when(F.size("pii_terms") > 0, F.filter(term_spans(F.col("text"), F.col("pii_terms")), clear))
     spans = F.sort_array(F.concat("base", F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))
