@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return near_join.keep_one(docs)
+    """One row of each class of near duplicates, whatever its id."""
+    return near_join.one_of_each_class(docs)
 
 
 def remove_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

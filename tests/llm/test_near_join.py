@@ -96,3 +96,19 @@ def test_prefix_reaches_the_recall():
     n = J.prefix_length()
     assert 1 - (1 - J.THRESHOLD**n) ** J.TREES >= J.RECALL
     assert n == J.DEPTH or 1 - (1 - J.THRESHOLD ** (n + 1)) ** J.TREES < J.RECALL
+
+
+def test_pipeline_keeps_one_row_of_each_class_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    word = lambda g, n=40: " ".join(f"g{g}w{k}" for k in range(n))
+    shared = [(5, word(g)) for g in range(6)]  # one id, unrelated texts
+    rows = [*shared, (9, word(0)), (3, word(1) + " end"), (None, word(2)), (None, word(7)), (None, word(7)), (None, word(7) + " end"), (None, None), (4, " "), (4, " ")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = corpus_pipeline.keep_one_of_near(spark, df, "")
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    blank = [(None, None), (4, " "), (4, " ")]
+    assert [r for r in kept if r[0] is not None and r[1] != " "] == sorted([(3, word(1) + " end"), *(r for r in shared if r[1] != word(1))], key=repr)
+    assert len([r for r in kept if r[0] is None and r[1]]) == 1
+    assert sorted((r for r in kept if not (r[1] or "").strip()), key=repr) == sorted(blank, key=repr)

@@ -102,7 +102,7 @@ def signature(s: np.ndarray, values: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n (shingles), s0, s1 (hash of the set), keys (a prefix key per tree)."""
+    """doc_id, t (hash of the text), n (shingles), s0, s1 (hash of the set), keys (a prefix key per tree)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +121,10 @@ def sketches(docs: DataFrame, length: int) -> DataFrame:
                     for j in range(length):
                         key = mix(key + grid[:, j] + np.uint64(j + 1))
                     keys.append(key.view(np.int64).tolist())
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s0", "s1", "keys"])
+            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "n", "s0", "s1", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s0 long, s1 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, s0 long, s1 long, keys array<long>")
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -221,8 +221,8 @@ def units(members: DataFrame, threshold: float) -> DataFrame:
     return placed.join(dealt, ["component", "block"]).select("component", "rep", "copies", "units")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs``."""
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and s0, s1, component, class_id, n_links of every set that has words."""
     spark = docs.sparkSession
     arrow_rows(spark)
     drawn = staged(sketches(docs, prefix_length(threshold)), "sketches")
@@ -273,12 +273,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = reps.select("rep", "s0", "s1", "copies", "least").join(linked, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = staged(named.join(least, "component").select("s0", "s1", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "classes")
+    named = staged(named.join(least, "component").select("s0", "s1", "component", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "classes")
+    discard(found)
+    return drawn, named
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs``."""
+    drawn, named = classes_of(docs, threshold)
     result = drawn.select("doc_id", "n", "s0", "s1").join(named, ["s0", "s1"], "left")
     alone = F.col("n") == 0
-    result = result.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
-    discard(found)
-    return result
+    return result.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -306,3 +311,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = kept.withColumn("near_row", F.row_number().over(order)).filter("near_row = 1").drop("near_row")
     return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with exactly one row of each verified class: least doc_id, nulls last, then text hash; rows without words are all kept.
+
+    The class decides, not the id: rows that share an id or have none are judged by their texts.
+    """
+    drawn, named = classes_of(docs.select("doc_id", "text"), threshold)
+    rows = drawn.filter("n > 0").join(named.select("s0", "s1", "component"), ["s0", "s1"])
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("near_id"), F.col("best.t").alias("near_t"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(wordy).withColumn("near_row_id", F.col("doc_id").cast("long")).withColumn("near_row_t", F.xxhash64("text"))
+    kept = keyed.join(best, keyed["near_row_id"].eqNullSafe(best["near_id"]) & (keyed["near_row_t"] == best["near_t"]), "left_semi")
+    kept = kept.dropDuplicates(["near_row_id", "near_row_t"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(~wordy))
