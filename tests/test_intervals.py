@@ -54,6 +54,12 @@ def test_mutual_best_equals_greedy(spark):
     assert {(r.l, r.r) for r in got.collect()} == want
 
 
+def test_mutual_best_of_a_long_chain(spark):
+    rows = [(k // 2, (k + 1) // 2, 1 - k / 100) for k in range(15)]  # each pair shares a side with the next
+    got = I.mutual_best(spark.createDataFrame(rows, "l long, r long, s double"), ["l"], ["r"], "s", max_rounds=3)
+    assert sorted((r.l, r.r) for r in got.collect()) == [(k, k) for k in range(8)]
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(150):

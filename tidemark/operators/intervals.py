@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,15 +85,18 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str,
     Pairs that are best for both of their sides are kept, their sides leave,
     and the rest is matched again; equal to taking pairs one by one. The pairs
     and what each round leaves are tables in the shared folder, so plans stay
-    short; most inputs need a round or two.
+    short; most inputs need a round or two. Rounds go on until no pair is left;
+    after every ``max_rounds`` of them the pairs found so far become one table.
     """
     order = [F.desc(score), *left, *right]
     a = F.row_number().over(Window.partitionBy(*left).orderBy(*order))
     b = F.row_number().over(Window.partitionBy(*right).orderBy(*order))
     kept, rest = [], staged(pairs, "pairs")
-    for _ in range(max_rounds):
+    while True:
         ranked = staged(rest.withColumn("mb_a", a).withColumn("mb_b", b), "ranked-pairs")
         best = ranked.filter("mb_a = 1 AND mb_b = 1").drop("mb_a", "mb_b")
+        if len(kept) and best.isEmpty():
+            raise ValueError("pairs repeat a left and right side")
         kept.append(best)
         out = ranked.filter("mb_a > 1 OR mb_b > 1").drop("mb_a", "mb_b")
         if out.isEmpty():
@@ -99,6 +104,8 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str,
         rest = out.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti").select(pairs.columns)
         if rest.isEmpty():
             break
+        if len(kept) >= max_rounds:
+            kept = [staged(functools.reduce(DataFrame.unionByName, kept), "matched-pairs")]
     found = kept[0]
     for part in kept[1:]:
         found = found.unionByName(part)
