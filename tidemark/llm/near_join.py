@@ -1,10 +1,10 @@
-"""Jaccard join on word 5-grams: a MinHash LSH forest proposes, an exact check disposes.
+"""Jaccard join on word 5-grams: MinHash bands propose, an exact check disposes.
 
 Texts are sets of hashed 5-word shingles (a text of one to four words is one
-shingle). Equal sets are one representative. ``TREES`` prefix tries hold the
-representatives' signatures of ``DEPTH`` values; matched prefixes are shortened
-from the full depth until a pair at the threshold meets in some tree with
-probability ``RECALL``. Representatives that share a prefix of that length are
+shingle). Equal sets are one representative. ``TREES`` bands of signature values
+have the greatest length up to ``DEPTH`` at which a pair at the threshold meets
+in some band with probability ``RECALL``; it is fixed beforehand, no tries are
+built. Representatives that share a band are
 linked to the least one among them, and the components of these links are the
 groups to verify. Every group is verified whole: its members are cut into
 blocks by set size, and each pair of blocks whose sizes can reach the threshold
@@ -47,7 +47,7 @@ _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Longest prefix whose ``trees`` tries still bring a pair at the threshold together as often as ``recall``."""
+    """Longest band of which ``trees`` still bring a pair at the threshold together as often as ``recall``."""
     for length in range(depth, 0, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
             return length
