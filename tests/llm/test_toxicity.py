@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 from tidemark.llm import toxicity as X
 
@@ -54,3 +56,110 @@ def test_edges(spark):
     assert X.score(empty(spark), labels).collect() == []
     kept = X.drop_toxic(edge(spark), label_table(spark))
     assert kept.columns == edge(spark).columns and kept.count() == edge(spark).count()
+
+
+def brute_model(texts, model):
+    """The ratios and expectations of one model by loops over dictionaries: texts are (group, text)."""
+    sets = {(g, t) for g, t in texts}
+    runs = lambda t, m: {X.packed(t).tobytes()[i : i + m] for i in range(len(X.packed(t)) - m + 1)}
+    held = {m: [(g, runs(t, m)) for g, t in sets] for m in (X.LOW, X.TOP)}
+    kinds = {m: {r for _, rs in held[m] for r in rs} for m in held}
+    n = {X.LOW: Counter(r[1:] for r in kinds[X.TOP]), X.LOW - 1: Counter(r[1:] for r in kinds[X.LOW])}
+    for m in range(X.LOW - 2, 0, -1):
+        n[m] = Counter(r[1:] for r in n[m + 1])
+    d = X.DISCOUNT
+
+    def interpolate(counts, lower):
+        total, types = Counter(), Counter()
+        for r, c in counts.items():
+            total[r[:-1]] += c
+            types[r[:-1]] += 1
+        return {r: max(c - d, 0) / total[r[:-1]] + d * types[r[:-1]] / total[r[:-1]] * lower(r[1:]) for r, c in counts.items()}
+
+    kn = {1: {r: c / sum(n[1].values()) for r, c in n[1].items()}}
+    for m in range(2, X.LOW + 1):
+        kn[m] = interpolate(n[m], kn[m - 1].__getitem__)
+    ratios, usual, shorter = {}, {}, {}
+    for m in (X.LOW, X.TOP):
+        counts = {c: Counter() for c in (0, 1)}
+        both = Counter()
+        for g, rs in held[m]:
+            both.update(rs)
+            if g // 2 != model:
+                counts[g % 2].update(rs)
+        p = interpolate(both, kn[m - 1].__getitem__)
+        sums = {c: defaultdict(float) for c in (0, 1)}
+        for c in (0, 1):
+            for r, k in counts[c].items():
+                sums[c][r[:-1]] += k
+        kept, taken = {}, defaultdict(float)
+        for r in both:
+            for c in (0, 1):
+                e = sums[c][r[:-1]] * p[r] * (math.exp(shorter.get(r[1:], 0.0)) if c else 1.0)
+                kept[c, r] = max(counts[c][r] - e - X.LEVEL * math.sqrt(e) - d, 0) / max(sums[c][r[:-1]], 1)
+                taken[r[:-1]] += kept[c, r] / 2
+        found, mass, moment = {}, defaultdict(float), defaultdict(float)
+        for r in both:
+            back = max(1 - taken[r[:-1]], 1e-6) * p[r]
+            p0 = kept[0, r] + back
+            value = math.log(kept[1, r] + back * math.exp(shorter.get(r[1:], 0.0))) - math.log(p0)
+            mass[r[:-1]] += p0
+            moment[r[:-1]] += p0 * value
+            if kept[0, r] or kept[1, r]:
+                found[r] = value
+        ratios[m], shorter = found, found
+        usual = {h: moment[h] / mass[h] for h in mass}
+    return ratios, usual
+
+
+def test_model_equals_brute_force(spark):
+    docs, labels = corpus(300, 11)
+    docs += [(1000 + i, t) for i, (_, t) in enumerate(docs[:20])]  # copies lend no weight
+    labels += [(1000 + i, 1, labels[i][2]) for i in range(20)]
+    df, lt = spark.createDataFrame(docs, "doc_id long, text string"), label_table(spark, labels)
+    rows = X.training(df, lt)
+    texts = [(r.group, r.text) for r in rows.collect()]
+    assert len(texts) == len(set(t for _, t in texts))
+    model = X.fitted(X.count_texts(rows))
+    held = {(r.kind, r.j, r.g): r.r for r in model.collect()}
+    number = lambda r: int.from_bytes(r, "big")
+    for j in (0, X.FOLDS):
+        ratios, usual = brute_model(texts, j)
+        want = {(0, j, number(r)): v for r, v in ratios[X.TOP].items()} | {(1, j, number(r)): v for r, v in ratios[X.LOW].items()}
+        want |= {(2, j, number(h)): v for h, v in usual.items() if abs(v) > X.NONE}
+        got = {k: v for k, v in held.items() if k[1] == j}
+        assert got.keys() == want.keys() and any(k[0] == 0 for k in want)
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        lookup = X.lookups(model, [j])[0]
+        for _, t in docs[:5]:
+            raw = X.packed(t).tobytes()
+            runs = {raw[i : i + X.TOP] for i in range(len(raw) - X.TOP + 1)}
+            s = sum(ratios[X.TOP].get(r, ratios[X.LOW].get(r[1:], 0.0)) - usual.get(r[:-1], 0.0) for r in runs)
+            got_s, n = lookup.evidence(t)
+            assert n == len(runs) and abs(got_s - s) < 1e-6
+
+
+def test_a_joined_model_scores_as_a_sent_one(spark, monkeypatch):
+    docs, labels = corpus(80, 5)
+    df = spark.createDataFrame([*docs, (5000, None), (5001, " "), (None, "vile scum")], "doc_id long, text string")
+    sent = {(r.doc_id, round(r.score, 9)) for r in X.score(df, label_table(spark, labels)).collect()}
+    monkeypatch.setattr(X, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(X, "BROADCAST_LABELS", 0)
+    joined = {(r.doc_id, round(r.score, 9)) for r in X.score(df, label_table(spark, labels)).collect()}
+    assert sent == joined and len(sent) == 83
+
+
+def test_unseen_forms_of_a_toxic_stem(spark):
+    rng = random.Random(9)
+    syllables = [a + b for a in "bdgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    docs, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        text = [word() for _ in range(rng.randint(40, 120))]
+        for _ in range(5 * toxic):
+            text.insert(rng.randrange(len(text)), "qwexo" + word())
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    rows = X.score(spark.createDataFrame(docs, "doc_id long, text string"), label_table(spark, labels)).filter("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in rows) > 0.98 * len(rows)

@@ -1,250 +1,311 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Words fall into ``SLOTS`` hash slots. A word's context h is the last one before
-it of the ``CONTEXTS`` most frequent words: it tells language and register, so
-that these are no evidence. Probabilities cover the ``VOCABULARY`` most frequent
-words, the others being one event. Both bounds are parameters, so the model's
-size is fixed while its counts gather every labelled training text. For class c
-
-    p_c(w | h) = max(B_c(h, w) - D_c(h, w), 0) / C_c(h) + L(h) p(w | h)
-    p(w | h)   = max(B(h, w) - d, 0) / C(h) + l(h) p_cont(w)
-
-B are continuation counts: the occurrences of w after h with different
-neighbours, so copied texts lend no weight. B_c counts a class, B both; L and l
-give away what the discounts took, and p_cont is the share of left neighbours
-that w continues. The discount D_c(h, w) = E + z sqrt(E) + d, with E = C_c(h)
-p(w | h), leaves what a class has significantly beyond the shared counts:
-rare expressions have the shared probability on either side and no evidence. A
-text's evidence is its log-likelihood ratio less the mean one of ordinary texts
-of its length, over a power of the length; a monotone curve (pooled adjacent
-violators) maps it to a score. The level z (one of ``LEVELS``), the power (of
-``POWERS``) and the curve are
-fitted on training texts in ``FOLDS`` parts, each scored by the model of the
-other parts, so no text judges itself.
+A text is its lower-case UTF-8 bytes with single spaces between words and around
+them. An expression is a run of ``TOP`` bytes: the last byte is predicted from
+the others, its history, which may cross words. No history, byte or expression
+is left out, so the counts grow with the training texts, whatever their script.
+B_c(h, x) is the number of different training texts of class c that hold
+history h followed by x, B their sum and C their sums over x: repetition within
+a text and exact copies lend no weight. For class c, from the longest history:
+
+    p_c(x | h)  = max(B_c(h, x) - D_c(h, x), 0) / C_c(h) + L(h) q_c(x | h)
+    p(x | h)    = max(B(h, x) - d, 0) / C(h) + d T(h) / C(h) p_kn(x | h')
+    D_c(h, x)   = E + LEVEL sqrt(E) + d,   E = C_c(h) q_c(x | h)
+
+p is the shared model, T the number of different x, h' the history without its
+first byte, and p_kn the interpolated Kneser-Ney model of continuation counts
+(how many bytes stand before a run) down to single bytes. The backoff q_c is p
+times the ratio that the class has at the shorter history, p_c(x | h') /
+p(x | h'), so a rare expression is judged by the counts of its shorter form; at
+the shortest class history (``LOW`` bytes with x) q_c is p. The discount takes
+what the shared counts explain: a class keeps what is beyond them, and where
+neither keeps anything the classes agree. L(h) gives away what both classes'
+discounts took.
+
+A text's evidence is the sum over its different expressions of log p_toxic -
+log p_ordinary, less what ordinary text is expected to show after the same
+histories, less the mean of ordinary texts per expression, over the number of
+expressions to the power ``POWER``. A rising curve (pooled adjacent violators)
+maps it to a score. The curve is fitted on training texts in ``FOLDS`` parts,
+each scored by the model of the other parts, so no text judges itself; equal
+texts are in one part.
+
+Only expressions with a ratio of their own and histories with an expectation
+are looked up. Up to ``BROADCAST_ENTRIES`` of them (counted, 16 bytes each in a task) are
+sent to the tasks; a larger model is joined to the expressions of the texts.
 
 Training rows are the labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 Scores come from the text alone. Texts without words (null ones too) score the
 training share of toxic texts. Rows with a null id are scored, never learnt
-from; of repeated labels of an id the higher holds; null labels are no labels.
+from; of repeated labels of an id the higher holds; null labels are no labels;
+a text that is labelled both ways counts for both classes.
 Without training rows of both classes every score is 0. Extra columns of the
 input are ignored by :func:`score` and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import arrow_rows, discard, staged
 
-SLOTS = 1 << 18
-CONTEXTS = 10
-VOCABULARY = 8192
+TOP, LOW = 5, 4  # bytes of an expression, and of its shorter form
 DISCOUNT = 0.75
-LEVELS = (1.0, 2.0, 3.0, 4.0, 6.0)
-POWERS = (0.5, 0.75, 1.0)
-USUAL_WORDS = 400.0  # the length at which evidence of all powers is alike
-CHUNKS = 16
-FOLDS = 8
-CACHE_WORDS = 400_000
+LEVEL = 2.0
+POWER = 0.75
+FOLDS = 4
+MODELS = FOLDS + 1  # the last one is learnt from all parts
+SCALE = 8.0
+HELD_GRAMS = 1_000_000  # different expressions that a task holds before it sends them on
+BROADCAST_ENTRIES = 8_000_000
+BROADCAST_LABELS = 4_000_000
 THRESHOLD = 0.7
-STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
+NONE = 1e-9
+GROUPS = [f"c{k}" for k in range(2 * FOLDS)]
 
 
-class Slots(dict):
-    """Raw word to hash slot of its bare lower-case form; bounded."""
+def packed(text: str | None) -> np.ndarray:
+    """The text's bytes as the models read them; empty for texts without words."""
+    words = (text or "").lower().split()
+    return np.frombuffer(f"{' ' * (TOP - 1)}{' '.join(words)} ".encode("utf-8", "replace"), np.uint8) if words else np.zeros(0, np.uint8)
 
-    def __missing__(self, word: str) -> int:
-        bare = word.lower().strip(STRIP) or word
-        slot = zlib.crc32(bare.encode()) % SLOTS
-        if len(self) < CACHE_WORDS:
-            self[word] = slot
-        return slot
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
-
-
-_slots = Slots()
+def expressions(raw: np.ndarray, size: int = TOP) -> np.ndarray:
+    """The different runs of ``size`` bytes as numbers, first byte highest."""
+    if len(raw) < size:
+        return np.zeros(0, np.int64)
+    n = len(raw) - size + 1
+    key = np.zeros(n, np.int64)
+    for j in range(size):
+        key <<= 8
+        key |= raw[j : j + n]
+    key.sort()
+    return key[np.r_[True, key[1:] != key[:-1]]]
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, fold, words (packed slots) of the training rows."""
-    crc = F.crc32(F.col("doc_id").cast("string"))
+    """group (2 * fold + label) and text of the training rows, equal ones once."""
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc % 3 != 1).join(marked.hint("merge"), "doc_id")
-    rows = rows.select((F.floor(crc / 3) % FOLDS).cast("int").alias("fold"), (F.col("label") > 0).cast("int").alias("label"), "text")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = pa.array([_slots.of(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["fold", "label", "words"])
-
-    return staged(rows.mapInArrow(pack, "fold int, label int, words binary"), "toxicity-training")
-
+    marked = marked.select(F.col("doc_id").cast("long").alias("id"), (F.col("label") > 0).cast("int").alias("label"))
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.crc32(F.col("id").cast("string")) % 3 != 1)
+    rows = rows.join(marked, "id").select("label", "text", F.xxhash64("text").alias("h0"), F.xxhash64("text", F.lit(1)).alias("h1"))
+    once = rows.groupBy("h0", "h1", "label").agg(F.first("text").alias("text"))
+    return once.select((2 * F.pmod("h1", F.lit(FOLDS)) + F.col("label")).cast("int").alias("group"), "text")
+
+
+def summed(keys: list[np.ndarray], groups: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and, for each, in how many of the arrays of each group it is."""
+    key = np.concatenate(keys)
+    group = np.repeat(np.array(groups, np.int64), [len(k) for k in keys])
+    order = np.argsort(key, kind="stable")
+    key, group = key[order], group[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    out = np.zeros((len(new), 2 * FOLDS), np.int32)
+    np.add.at(out, (np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(key)])), group), 1)
+    return key[new], out
+
+
+def merged(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if a is None:
+        return b
+    key, row = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    out = np.zeros((len(key), 2 * FOLDS), np.int32)
+    np.add.at(out, row, np.concatenate([a[1], b[1]]))
+    return key, out
+
+
+def count_texts(rows: DataFrame) -> DataFrame:
+    """size, g and, for each group, the number of texts that hold the run g of so many bytes."""
 
-def gather(rows: DataFrame, count, names: list[str], combine=np.add) -> dict[str, np.ndarray]:
-    """Arrays that ``count(batches)`` returns per task, combined over all tasks in chunks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple | None] = {LOW: None, TOP: None}
 
-    Every array has a fixed size; what reaches the driver is one combined copy.
-    """
+        def out(size):
+            key, n = held[size]
+            held[size] = None
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), size, np.int32)), pa.array(key), *(pa.array(n[:, k]) for k in range(2 * FOLDS))], ["size", "g", *GROUPS])
 
-    def local(batches):
-        found = count(batches)
-        keys, payload = [], []
-        for name in names:
-            for i, piece in enumerate(np.array_split(found[name].ravel(), CHUNKS)):
-                keys.append(f"{name}/{i:03d}")
-                payload.append(zlib.compress(piece.tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(payload, pa.binary())], ["key", "payload"])
-
-    def merge(batches):
-        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                piece = np.frombuffer(zlib.decompress(payload), np.int64)
-                total[key] = combine(total[key], piece) if key in total else piece.copy()
-        if total:
-            values = [zlib.compress(x.tobytes(), 1) for x in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(values, pa.binary())], ["key", "payload"])
-
-    schema = "key string, payload binary"
-    parts = rows.mapInArrow(local, schema).repartition(CHUNKS, "key").mapInArrow(merge, schema).collect()
-    pieces = {r.key: np.frombuffer(zlib.decompress(bytes(r.payload)), np.int64) for r in parts}
-    return {n: np.concatenate([pieces[f"{n}/{i:03d}"] for i in range(CHUNKS)]) for n in names} if pieces else {}
-
-
-def _each(batches) -> Iterator[tuple[int, np.ndarray]]:
-    for batch in batches:
-        for fold, label, words in zip(*(c.to_pylist() for c in batch.columns)):
-            yield 2 * fold + label, np.frombuffer(words, np.uint32)
+            groups, texts = batch.column(0).to_pylist(), [packed(t) for t in batch.column(1).to_pylist()]
+            for size in held:
+                keys = [expressions(t, size) for t in texts]
+                held[size] = merged(held[size], summed(keys, groups))
+                if len(held[size][0]) >= HELD_GRAMS:
+                    yield out(size)
+        for size in held:
+            if held[size] is not None and len(held[size][0]):
+                yield out(size)
+
+    found = rows.mapInArrow(run, f"size int, g long, {', '.join(f'{c} int' for c in GROUPS)}")
+    return found.groupBy("size", "g").agg(*(F.sum(c).alias(c) for c in GROUPS))
+
+
+def _low(size: int) -> Column:
+    """The run without its first byte, of ``size`` bytes then."""
+    return F.col("g").bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _history() -> Column:
+    return F.shiftright("g", 8)
+
+
+def interpolated(counts: DataFrame, lower: DataFrame | None, size: int) -> DataFrame:
+    """g and p: Kneser-Ney probabilities of the runs of ``size`` bytes with n continuations."""
+    if lower is None:
+        total = counts.agg(F.sum("n")).first()[0] or 1
+        return counts.select("g", (F.col("n") / total).alias("p"))
+    same = Window.partitionBy(_history())
+    held = counts.withColumn("all", F.sum("n").over(same)).withColumn("kinds", F.count("*").over(same)).withColumn("low", _low(size - 1))
+    held = held.join(lower.select(F.col("g").alias("low"), F.col("p").alias("q")), "low")
+    return held.select("g", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("all") + DISCOUNT * F.col("kinds") / F.col("all") * F.col("q")).alias("p"))
+
+
+def class_ratios(counts: DataFrame, lower: DataFrame, size: int, shorter: DataFrame | None) -> DataFrame:
+    """j (model), g, h, ratio r, p0 (the ordinary class's probability) and whether a class keeps something of its own."""
+    of = lambda j, label: sum(F.col(f"c{2 * f + label}") for f in range(FOLDS) if f != j).cast("double")
+    each = F.array(*(F.struct(F.lit(j).alias("j"), of(j, 0).alias("n"), of(j, 1).alias("t")) for j in range(MODELS)))
+    held = counts.select("g", _history().alias("h"), _low(size - 1).alias("low"), sum(F.col(c) for c in GROUPS).alias("b"), each.alias("e"))
+    same = Window.partitionBy("h")
+    held = held.select("*", F.sum("b").over(same).alias("all"), F.count("*").over(same).alias("kinds")).join(lower.select(F.col("g").alias("low"), F.col("p").alias("q")), "low")
+    p = F.greatest(F.col("b") - DISCOUNT, F.lit(0.0)) / F.col("all") + DISCOUNT * F.col("kinds") / F.col("all") * F.col("q")
+    held = held.select("g", "h", "low", p.alias("p"), F.explode("e").alias("e")).select("g", "h", "low", "p", "e.*")
+    if shorter is None:
+        held = held.withColumn("s", F.lit(1.0))
+    else:
+        held = held.join(shorter.select("j", F.col("g").alias("low"), F.exp("r").alias("s")), ["j", "low"], "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
+    same = Window.partitionBy("j", "h")
+
+    def kept(x: str, prior: Column) -> Column:
+        expected = F.col(f"{x}_all") * prior
+        return F.greatest(F.col(x) - expected - LEVEL * F.sqrt(expected) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{x}_all"), F.lit(1.0))
+
+    held = held.withColumns({"n_all": F.sum("n").over(same), "t_all": F.sum("t").over(same)})
+    held = held.withColumns({"kn": kept("n", F.col("p")), "kt": kept("t", F.col("p") * F.col("s"))})
+    held = held.withColumn("back", F.greatest(1 - F.sum(F.col("kn") + F.col("kt")).over(same) / 2, F.lit(1e-6)) * F.col("p"))
+    held = held.withColumn("p0", F.col("kn") + F.col("back"))
+    r = F.log(F.col("kt") + F.col("back") * F.col("s")) - F.log("p0")
+    return held.select("j", "g", "h", r.alias("r"), "p0", ((F.col("kn") > 0) | (F.col("kt") > 0)).alias("own"))
+
+
+def fitted(counts: DataFrame) -> DataFrame:
+    """The models as rows kind, j, g, r: runs of TOP (kind 0) and LOW (1) bytes with ratios of their own, expectations of histories (2)."""
+    low, top = counts.filter(F.col("size") == LOW), counts.filter(F.col("size") == TOP)
+    after = lambda runs, size: runs.groupBy(_low(size).alias("g")).agg(F.count("*").alias("n"))
+    levels = {LOW - 1: after(low, LOW - 1), LOW: after(top, LOW)}
+    for size in range(LOW - 2, 0, -1):
+        levels[size] = after(levels[size + 1], size)
+    p: DataFrame | None = None
+    shared = {}
+    for size in range(1, LOW + 1):
+        p = shared[size] = interpolated(levels[size], p, size)
+        if size == LOW - 1:  # read twice
+            p = shared[size] = staged(p, "toxicity-shared")
+    short = staged(class_ratios(low, shared[LOW - 1], LOW, None).filter("own").select("j", "g", "r"), "toxicity-short")
+    long = staged(class_ratios(top, shared[LOW], TOP, short), "toxicity-long")
+    usual = long.groupBy("j", "h").agg((F.sum(F.col("p0") * F.col("r")) / F.sum("p0")).alias("r")).filter(F.abs("r") > NONE)
+    parts = [long.filter("own"), short, usual.withColumnRenamed("h", "g")]
+    parts = [x.select(F.lit(kind).alias("kind"), "j", "g", "r") for kind, x in enumerate(parts)]
+    model = staged(parts[0].unionByName(parts[1]).unionByName(parts[2]), "toxicity-model")
+    for done in (short, long, shared[LOW - 1]):
+        discard(done)
+    return model
 
 
-def count_words(batches) -> dict[str, np.ndarray]:
-    counts = np.zeros((2, SLOTS), np.int64)
-    docs = np.zeros(CHUNKS, np.int64)
-    for group, words in _each(batches):
-        np.add.at(counts[group % 2], words, 1)
-        docs[group % 2] += 1
-    return {"counts": counts, "docs": docs}
-
-
-def events(words: np.ndarray, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and words (as places) of the positions that have a context."""
-    at = np.maximum.accumulate(np.where(context[words] >= 0, np.arange(len(words)), -1))[:-1]
-    follows = at >= 0
-    return context[words[at[follows]]], place[words[1:][follows]]
-
-
-def count_contexts(place: np.ndarray):
-    """Bit masks of the left neighbours (64 hash bins) that each word continues."""
-
-    def run(batches) -> dict[str, np.ndarray]:
-        seen = np.zeros(VOCABULARY + 1, np.int64)
-        for _, words in _each(batches):
-            if len(words) > 1:
-                bins = (words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-                np.bitwise_or.at(seen, place[words[1:]], (np.uint64(1) << bins).astype(np.int64))
-        return {"seen": seen}
-
-    return run
-
-
-def count_pairs(context: np.ndarray, place: np.ndarray):
-    def run(batches) -> dict[str, np.ndarray]:
-        pairs = np.zeros((2 * FOLDS, CONTEXTS * (VOCABULARY + 1)), np.int64)
-        for group, words in _each(batches):
-            if len(words) > 1:
-                h, w = events(words, context, place)
-                np.add.at(pairs[group], h.astype(np.int64) * (VOCABULARY + 1) + w, 1)
-        return {"pairs": pairs}
-
-    return run
+@dataclass
+class Lookup:
+    """One model's entries by kind: sorted runs and their values."""
+
+    runs: list[np.ndarray]
+    values: list[np.ndarray]
+
+    def of(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs = self.runs[kind]
+        if not len(runs):
+            return np.zeros(len(key)), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
+        hit = runs[at] == key
+        return np.where(hit, self.values[kind][at], 0.0), hit
+
+    def evidence(self, text: str | None) -> tuple[float, int]:
+        """Summed log-likelihood ratios less their expectations, and the number of expressions."""
+        key = expressions(packed(text))
+        own, hit = self.of(0, key)
+        less, _ = self.of(1, key & ((1 << 8 * LOW) - 1))
+        usual, _ = self.of(2, key >> 8)
+        return float((np.where(hit, own, less) - usual).sum()), len(key)
+
+
+def lookups(model: DataFrame, models: list[int]) -> list[Lookup]:
+    rows = model.filter(F.col("j").isin(models)).select("j", "kind", "g", "r").toArrow()
+    j, kind, g, r = (c.to_numpy() for c in rows.columns)
+    order = np.lexsort((g, kind, j))
+    place, g, r = (3 * j + kind)[order], g[order], r[order]
+    cut = lambda k: slice(*np.searchsorted(place, [k, k + 1]))
+    return [Lookup([g[cut(3 * m + k)] for k in range(3)], [r[cut(3 * m + k)] for k in range(3)]) for m in models]
+
+
+def evidence(texts: DataFrame, model: DataFrame, chosen: Column, models: list[int]) -> DataFrame:
+    """``texts`` with tox_s and tox_n: evidence by the model ``chosen`` (of ``models``), and number of expressions.
+
+    The model is sent to the tasks if it is counted to be small, and joined otherwise.
+    """
+    model = model.filter(F.col("j").isin(models))
+    if model.count() <= BROADCAST_ENTRIES:
+        return _evidence_sent(texts, model, chosen, models)
+    return _evidence_joined(texts, model, chosen)
 
 
-def mask_pairs(context: np.ndarray, place: np.ndarray):
-    """Bit masks of the neighbours (64 hash bins of left and right word) of each pair."""
+def _evidence_sent(texts: DataFrame, model: DataFrame, chosen: Column, models: list[int]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(dict(zip(models, lookups(model, models))))
+    names, n_own, at = [*texts.columns, "tox_s", "tox_n"], len(texts.columns), texts.columns.index("text")
 
-    def run(batches) -> dict[str, np.ndarray]:
-        masks = np.zeros((2 * FOLDS, CONTEXTS * (VOCABULARY + 1)), np.int64)
-        for group, words in _each(batches):
-            if len(words) > 1:
-                h, w = events(words, context, place)
-                n = len(h)
-                right = np.append(words[1:], 0)[-n:].astype(np.uint64) if n else np.zeros(0, np.uint64)
-                left = words[:-1][-n:].astype(np.uint64) if n else right
-                bins = ((left * np.uint64(SLOTS) + right + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-                np.bitwise_or.at(masks[group], h.astype(np.int64) * (VOCABULARY + 1) + w, (np.uint64(1) << bins).astype(np.int64))
-        return {"masks": masks}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value[j].evidence(t.as_py()) for t, j in zip(batch.column(at), batch.column(n_own).to_pylist())]
+            s, n = pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], s, n], names)
 
-    return run
+    schema = StructType([*texts.schema.fields, StructField("tox_s", DoubleType()), StructField("tox_n", LongType())])
+    return texts.withColumn("tox_model", chosen.cast("int")).mapInArrow(run, schema)
 
 
-def distinct(masks: np.ndarray) -> np.ndarray:
-    """How many different things fill so many of 64 bins."""
-    full = np.bitwise_count(masks.view(np.uint64)).astype(float)
-    return -64 * np.log1p(-np.minimum(full, 63.5) / 64)
+def _evidence_joined(texts: DataFrame, model: DataFrame, chosen: Column) -> DataFrame:
+    rows = staged(texts.select("*", chosen.cast("int").alias("tox_model"), F.monotonically_increasing_id().alias("tox_row")), "toxicity-rows")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, j, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                key = expressions(packed(text.as_py()))
+                columns = [pa.array(np.full(len(key), row, np.int64)), pa.array(np.full(len(key), j, np.int32)), pa.array(key)]
+                yield pa.RecordBatch.from_arrays(columns, ["tox_row", "tox_model", "g"])
 
-def continuation(pairs: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Occurrences with different neighbours; where a mask is nearly full, its bins tell no more than the occurrences."""
-    found = distinct(masks)
-    return np.where(found < 160, np.minimum(pairs, np.round(found)), pairs)
+    told = rows.select("tox_row", "tox_model", "text").mapInArrow(run, "tox_row long, tox_model int, g long")
+    told = told.select("*", F.col("g").alias("own"), _low(LOW).alias("less"), _history().alias("usual"))
+    for kind, key in enumerate(("own", "less", "usual")):
+        side = model.filter(F.col("kind") == kind).select(F.col("j").alias("tox_model"), F.col("g").alias(key), F.col("r").alias(f"{key}_v"))
+        told = told.join(side, ["tox_model", key], "left")
+    part = F.coalesce("own_v", "less_v", F.lit(0.0)) - F.coalesce("usual_v", F.lit(0.0))
+    sums = told.groupBy("tox_row").agg(F.sum(part).alias("tox_s"), F.count("*").alias("tox_n"))
+    found = rows.join(sums, "tox_row", "left")
+    return found.select(*texts.columns, F.coalesce("tox_s", F.lit(0.0)).alias("tox_s"), F.coalesce("tox_n", F.lit(0)).cast("long").alias("tox_n"))
 
 
-def normalised(total: float, n: int, drift: float, power: float) -> float:
-    n = max(n, 1)
-    return (total - drift * n) / n**power * USUAL_WORDS ** (power - 0.5)
+def normalised(drift: float) -> Column:
+    """The evidence per expression to the power ``POWER``, on a scale that tells small and large values apart."""
+    n = F.greatest(F.col("tox_n"), F.lit(1)).cast("double")
+    return F.asinh(SCALE * (F.col("tox_s") - F.lit(drift) * n) / F.pow(n, F.lit(POWER)))
 
 
-@dataclass
-class Model:
-    """Log-likelihood ratios by context and word, ready to sum."""
-
-    context: np.ndarray  # slot -> context number or -1
-    place: np.ndarray  # slot -> word number; VOCABULARY for the rest
-    ratio: np.ndarray
-    drift: float = 0.0  # mean ratio of a word in ordinary texts
-    power: float = 0.5  # of the length that divides the sum
-
-    def total(self, words: np.ndarray) -> float:
-        """Log-likelihood ratio, toxic against ordinary."""
-        if len(words) < 2:
-            return 0.0
-        h, w = events(words, self.context, self.place)
-        return float(self.ratio[h, w].sum(dtype=np.float64))
-
-    def evidence(self, words: np.ndarray) -> float:
-        """Length-normalised log-likelihood ratio."""
-        return normalised(self.total(words), len(words), self.drift, self.power)
-
-
-def fit_model(pairs: np.ndarray, seen: np.ndarray, context: np.ndarray, place: np.ndarray, level: float) -> Model:
-    """``pairs`` (class, CONTEXTS * words) continuation counts, ``seen`` masks of both classes, ``level`` the z of the discount."""
-    continued = np.maximum(distinct(seen), 0.5)
-    continued /= continued.sum()
-    b = pairs.reshape(2, CONTEXTS, VOCABULARY + 1).astype(float)
-    c = b.sum(2)
-    both, total = b.sum(0), np.maximum(c.sum(0), 1)[:, None]
-    shared = np.maximum(both - DISCOUNT, 0) / total
-    shared += (1 - shared.sum(1, keepdims=True)) * continued[None, :]
-    expected = c[:, :, None] * shared[None]
-    kept = np.maximum(b - expected - level * np.sqrt(expected) - DISCOUNT, 0) / np.maximum(c, 1)[:, :, None]
-    weight = np.maximum(1 - kept.sum(2).mean(0), 1e-6)[:, None]
-    ratio = np.log(kept[1] + weight * shared) - np.log(kept[0] + weight * shared)
-    ratio[c.min(0) == 0] = 0  # a context that one class has never seen says nothing
-    return Model(context, place, ratio.astype(np.float32))
-
-
-def fit_curve(bins: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Knots and values of a rising curve through the histograms (class, bin), and its loss.
+def fit_curve(bins: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and values of a rising curve through the histograms (class, bin).
 
     Bins without texts join their neighbours; each block has half a text of either class beside its own.
     """
@@ -258,127 +319,80 @@ def fit_curve(bins: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     prior = n1.sum() / max(n0.sum() + n1.sum(), 1)
     x = np.array([s / (a + b) for a, b, s in blocks])
     y = np.maximum.accumulate([(b + prior) / (a + b + 1) for a, b, _ in blocks])
-    p = np.interp(centres, x, y)
-    loss = -float((n0 * np.log(1 - p + 1e-12) + n1 * np.log(p + 1e-12)).sum())
     # beyond the outer knots the curve goes on to 0 and 1, slowly, so that evidence still orders texts
     x = np.concatenate([[min(x[0], centres[0]) - 1e-6], x, [max(x[-1], centres[-1]) + 1e-6]])
     y = np.concatenate([[y[0] * 0.5], y, [(y[-1] + 1) / 2]])
-    return x, y, loss
+    return x, y
 
 
-BINS, SPREAD = 8192, 8.0
+BINS, SPREAD = 8192, 12.0
 CENTRES = (np.arange(BINS) + 0.5) / BINS * 2 * SPREAD - SPREAD
 
 
-def bin_of(r: float) -> int:
-    return int(np.clip((r + SPREAD) / (2 * SPREAD) * BINS, 0, BINS - 1))
-
-
 @dataclass
 class Scorer:
-    model: Model | None
+    """The fitted model (None: nothing to learn from), the drift of ordinary texts and the curve."""
+
+    model: DataFrame | None
+    drift: float = 0.0
     x: np.ndarray | None = None
     y: np.ndarray | None = None
     share: float = 0.0
 
-    def score(self, words: np.ndarray) -> float:
-        if self.model is None:
-            return 0.0
-        if not len(words):
-            return self.share
-        return float(np.interp(self.model.evidence(words), self.x, self.y))
+    def score(self) -> Column:
+        """Score from tox_s and tox_n: a walk along the knots, in generated code."""
+        z = normalised(self.drift)
+        knots = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(self.x, self.y)))
+        start = F.struct(F.lit(float(self.x[0])).alias("x"), F.lit(float(self.y[0])).alias("y"), F.lit(float(self.y[0])).alias("at"))
+
+        def step(acc, k):
+            between = acc["y"] + (k["y"] - acc["y"]) * (z - acc["x"]) / F.greatest(k["x"] - acc["x"], F.lit(1e-12))
+            return F.struct(k["x"].alias("x"), k["y"].alias("y"), F.when(z <= acc["x"], acc["at"]).otherwise(F.least(k["y"], between)).alias("at"))
+
+        return F.when(F.col("tox_n") > 0, F.aggregate(knots, start, step)["at"]).otherwise(F.lit(self.share))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     arrow_rows(docs.sparkSession)
-    rows = training(docs, labels)
-    found = gather(rows, count_words, ["counts", "docs"])
-    if not found:
-        return Scorer(None)
-    counts, totals = found["counts"].reshape(2, SLOTS), found["docs"][:2]
-    if totals.min() == 0:
+    rows = staged(training(docs, labels), "toxicity-training")
+    label = (F.col("group") % 2).alias("label")
+    totals = {r.label: r.n for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        discard(rows)
         return Scorer(None)
-    frequent = np.argsort(-counts.sum(0), kind="stable")[:VOCABULARY]
-    context, place = np.full(SLOTS, -1, np.int16), np.full(SLOTS, VOCABULARY, np.int16)
-    context[frequent[:CONTEXTS]] = np.arange(CONTEXTS)
-    place[frequent] = np.arange(len(frequent))
-    seen = gather(rows, count_contexts(place), ["seen"], np.bitwise_or)["seen"]
-    pairs = gather(rows, count_pairs(context, place), ["pairs"])["pairs"].reshape(FOLDS, 2, -1)
-    masks = gather(rows, mask_pairs(context, place), ["masks"], np.bitwise_or)["masks"].reshape(FOLDS, 2, -1)
-    grid = []
-    for f in range(FOLDS):
-        rest = [g for g in range(FOLDS) if g != f]
-        others = continuation(pairs[rest].sum(0), np.bitwise_or.reduce(masks[rest], 0))
-        grid.append([fit_model(others, seen, context, place, level) for level in LEVELS])
-    shared = docs.sparkSession.sparkContext.broadcast(grid)
-
-    def drifts(batches):
-        sums = np.zeros((len(LEVELS) + 1) * CHUNKS, np.int64)
-        for group, words in _each(batches):
-            if len(words) and not group % 2:
-                for k, model in enumerate(shared.value[group // 2]):
-                    sums[k] += round(model.total(words) * 1e6)
-                sums[len(LEVELS)] += len(words)
-        return {"sums": sums}
-
-    sums = gather(rows, drifts, ["sums"])["sums"]
-    drift = [float(sums[k]) / 1e6 / max(int(sums[len(LEVELS)]), 1) for k in range(len(LEVELS))]
-
-    def histogram(batches):
-        bins = np.zeros((len(LEVELS), len(POWERS), 2, BINS), np.int64)
-        for group, words in _each(batches):
-            if len(words):
-                for k, model in enumerate(shared.value[group // 2]):
-                    total = model.total(words)
-                    for a, power in enumerate(POWERS):
-                        bins[k, a, group % 2, bin_of(normalised(total, len(words), drift[k], power))] += 1
-        return {"bins": bins}
-
-    bins = gather(rows, histogram, ["bins"])["bins"].reshape(len(LEVELS) * len(POWERS), 2, BINS)
-    shared.unpersist()
+    counts = staged(count_texts(rows), "toxicity-counts")
+    model = fitted(counts)
+    discard(counts)
+    told = staged(evidence(rows, model, F.floor(F.col("group") / 2), list(range(FOLDS))).drop("text"), "toxicity-evidence").filter("tox_n > 0")
+    s, n = told.filter("group % 2 = 0").agg(F.sum("tox_s"), F.sum("tox_n")).first()
+    scorer = Scorer(model, float(s or 0.0) / max(n or 0, 1), share=totals[1] / sum(totals.values()))
+    at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((normalised(scorer.drift) + SPREAD) / (2 * SPREAD) * BINS)))
+    bins = np.zeros((2, BINS))
+    for r in told.groupBy(label, at.alias("bin")).agg(F.count("*").alias("n")).collect():
+        bins[r.label, r.bin] = r.n
     discard(rows)
-    curves = [fit_curve(x, CENTRES) for x in bins]
-    best = min(range(len(curves)), key=lambda k: curves[k][2])
-    level, power = divmod(best, len(POWERS))
-    model = fit_model(continuation(pairs.sum(0), np.bitwise_or.reduce(masks, 0)), seen, context, place, LEVELS[level])
-    model.drift, model.power = drift[level], POWERS[power]
-    return Scorer(model, *curves[best][:2], float(totals[1] / totals.sum()))
-
-
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, held_out, score, predicted for every row of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(docs, labels))
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return flagged.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        _scores(shared, 2, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double"
-    ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    scorer.x, scorer.y = fit_curve(bins, CENTRES) if bins.any() else (np.array([0.0, 1.0]), np.array([scorer.share] * 2))
+    return scorer
 
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def _scores(shared, text_at: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scorer = shared.value
-            found = pa.array([scorer.score(_slots.of(t.as_py())) for t in batch.column(text_at)], pa.float64())
-            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] in names]
-            yield pa.RecordBatch.from_arrays([*kept, found], [*names, "score"])
+def with_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with tox_score."""
+    scorer = fit(docs.select("doc_id", "text"), labels)
+    if scorer.model is None:
+        return docs.withColumn("tox_score", F.lit(0.0))
+    return evidence(docs, scorer.model, F.lit(FOLDS), [FOLDS]).withColumn("tox_score", scorer.score())
 
-    return run
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    found = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            scorer = shared.value
-            keep = pa.array([scorer.score(_slots.of(t.as_py())) < threshold for t in batch.column(at)], pa.bool_())
-            yield batch.filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
+    return with_score(docs, labels).filter(F.col("tox_score") < threshold).select(*docs.columns)
