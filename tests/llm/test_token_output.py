@@ -72,3 +72,50 @@ def test_round_trip_and_single_documents(spark):
 
 def test_empty_table(spark):
     assert O.token_digest(empty(spark), BYTE).collect() == []
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_chunks_that_share_a_hash(path, kind, monkeypatch):
+    word = "a"
+    while len(word) < 2048:  # this word and its complement share every polynomial hash modulo 2 ** 64
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    enc, tok = ChunkEncoder(path, kind), Tokenizer.from_file(path)
+    texts = [f"x {word}", f"x {other}", f"x {word} {other} y"]
+    for text, ids in zip(texts, enc.encode_many(texts)):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr("tidemark.llm.tokens.chunk_hashes", lambda raw, begin, end: (end - begin).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    enc = ChunkEncoder(path, kind)
+    texts = ["x one two six ten " * 3 + "seventeen letters unbelievablenesses misunderstandings", "x ten misunderstandings unbelievablenesses"] * 2
+    for text, ids in zip(texts, enc.encode_many(texts)):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_narrow_ids_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        O.write_tokens(docs, work_path(spark, "test-narrow"), BYTE, end_id=70_000)
+
+
+def test_single_documents_by_ranges(spark, monkeypatch):
+    path = work_path(spark, "test-ranges")
+    rows = [(None, "none"), (None, None), (-5, "minus"), *((i, f"text {i} " * (i % 7)) for i in range(0, 600, 3)), (300, "again"), (300, "and again")]
+    monkeypatch.setitem(O.__dict__, "DICT_BYTES", 1024)
+    O.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, BYTE, shard_bytes=600)
+    tok = Tokenizer.from_file(BYTE)
+    want = lambda k: sorted(tok.encode(t or "").ids + [2] for i, t in rows if i == k)
+    taken = []
+    read = O.Ranges.read
+    monkeypatch.setattr(O.Ranges, "read", lambda self, file, start, length: (taken.append((file, length)), read(self, file, start, length))[1])
+    for k in (-5, 0, 3, 300, 597, 1, 10_000, -6):
+        taken.clear()
+        assert sorted(O.read_document(spark, path, k)) == want(k), k
+        assert len({f for f, n in taken if n > O.HEAD.size}) <= 2
+
+
+def test_session_compression_leaves_files_alone(spark):
+    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.output.fileoutputformat.compress", "true")
+    try:
+        assert sorted(tuple(r) for r in O.token_digest(edge(spark), BYTE).collect() if r[0]) == sorted(r for r in brute(edge_rows()) if r[0])
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.output.fileoutputformat.compress")

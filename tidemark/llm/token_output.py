@@ -9,8 +9,10 @@ A dataset folder holds
   dictionary, the header numbers, the index (doc_id, validity, first token,
   token count, frame offset) and the frames, one for each document.
 
-A frame is decoded alone from its offset, so a short document costs one small
-read. Shards are cut at ``shard_bytes`` of frames and follow ascending doc_id.
+Shards are cut at ``shard_bytes`` of frames and follow ascending doc_id, which
+their headers tell: :func:`read_document` searches the headers by halves and
+reads one shard's index and the document's frame, by ranges of bytes. Ids that
+do not fit in ``id_width`` bytes are refused.
 
 Null texts count as empty and hold the end id alone; null doc_ids come first
 and stay null; repeated doc_ids keep all their rows, ordered by text; an empty
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, remove, staged, work_path
 from .tokens import encoder
 
-MAGIC = b"TMTOK01\n"
-HEAD = struct.Struct("<8s32sIIqqqq")  # magic, dictionary hash, id width, documents, partition, number in it, tokens, frame bytes
+MAGIC = b"TMTOK02\n"
+HEAD = struct.Struct("<8s32sIIqqqqqq")  # magic, dictionary hash, id width, documents, partition, number in it, tokens, frame bytes, rows without an id, last id
 SHARD_BYTES = 8 << 20
 DICT_DOCS = 800
 DICT_DOC_CHARS = 65_536
@@ -76,7 +78,7 @@ def _shard(part: int, number: int, width: int, digest: bytes, rows: list[tuple])
     count = np.array([r[1] for r in rows], "<i8")
     first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype("<i8")
     offset = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype("<i8")
-    head = HEAD.pack(MAGIC, digest, width, len(rows), part, number, int(count.sum()), int(offset[-1]))
+    head = HEAD.pack(MAGIC, digest, width, len(rows), part, number, int(count.sum()), int(offset[-1]), int((valid == 0).sum()), int(ids[-1]))
     return b"".join([head, ids.tobytes(), valid.tobytes(), first.tobytes(), count.tobytes(), offset.tobytes(), *(r[2] for r in rows)])
 
 
@@ -84,7 +86,7 @@ class Shard:
     """A shard's bytes: its index at once, its documents one by one."""
 
     def __init__(self, blob: bytes):
-        magic, self.digest, self.width, n, self.part, self.number, self.tokens, self.frame_bytes = HEAD.unpack_from(blob)
+        magic, self.digest, self.width, n, self.part, self.number, self.tokens, self.frame_bytes, _, _ = HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEAD.size
@@ -117,6 +119,9 @@ def write_tokens(
 
     spark = docs.sparkSession
     arrow_rows(spark)
+    ids = max(encoder(tokenizer_path, "byte").size, end_id + 1)
+    if ids > 1 << 8 * id_width:
+        raise ValueError(f"ids up to {ids - 1} do not fit in {id_width} bytes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id, id_width)
     digest = hashlib.sha256(dictionary).digest()
@@ -146,11 +151,15 @@ def write_tokens(
             yield out()
 
     shards = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, "value binary")
-    # The text writer copies a string's bytes as they are: it is the binary writer of every store that Spark reaches.
-    shards.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{path}/shards")
-    spark.createDataFrame([(bytearray(dictionary),)], "value binary").coalesce(1).select(F.col("value").cast("string")).write.text(
-        f"{path}/dictionary"
-    )
+    write_blobs(shards, f"{path}/shards")
+    write_blobs(spark.createDataFrame([(bytearray(dictionary),)], "value binary").coalesce(1), f"{path}/dictionary")
+
+
+def write_blobs(blobs: DataFrame, path: str) -> None:
+    """One file for each binary ``value``. The text writer copies a string's bytes as they are, to every store that Spark
+    reaches; compression and line end are stated, so no setting of the session alters the files."""
+    rows = blobs.select(F.col("value").cast("string"))
+    rows.write.option("maxRecordsPerFile", 1).option("compression", "none").option("lineSep", "\n").text(path)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> bytes:
@@ -194,21 +203,64 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return files.select("content").mapInArrow(decode, schema)
 
 
-def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document (of each row with this id), decoding its frames alone."""
-    dictionary = read_dictionary(spark, path)
+class Ranges:
+    """Byte ranges of files in any store that Spark reaches, read by the driver."""
 
-    def find(batches):
-        opened = decompressor(dictionary)
-        for batch in batches:
-            for blob in batch.column(0):
-                shard = Shard(blob.as_py())
-                for i in np.flatnonzero((shard.doc_id == doc_id) & (shard.valid == 1)):
-                    ids = np.frombuffer(opened.decompress(shard.frame(i)), id_dtype(shard.width))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tolist()], pa.list_(pa.int64()))], ["ids"])
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
-    return [r.ids for r in files.select("content").mapInArrow(find, "ids array<long>").collect()]
+    def files(self, path: str) -> list[str]:
+        at = self.jvm.org.apache.hadoop.fs.Path(path)
+        return sorted(str(f.getPath()) for f in at.getFileSystem(self.conf).listStatus(at) if f.getPath().getName().startswith("part-"))
+
+    def read(self, file: str, start: int, length: int) -> bytes:
+        at = self.jvm.org.apache.hadoop.fs.Path(file)
+        stream = at.getFileSystem(self.conf).open(at)
+        try:
+            stream.seek(start)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+        finally:
+            stream.close()
+
+
+def _order(file: str) -> tuple[int, int]:
+    """Partition and number of a shard, from its file's name."""
+    name = file.rsplit("/", 1)[-1]
+    return int(name.split("-")[1]), int(name.split("-c")[-1].split(".")[0])
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
+    """The ids of one document (of each row with this id): a search of headers, one index and the frames asked for are read."""
+    ranges = Ranges(spark)
+    dictionary = read_dictionary(spark, path)
+    opened, digest = decompressor(dictionary), hashlib.sha256(dictionary).digest()
+    files = sorted(ranges.files(f"{path}/shards"), key=_order)
+    head = lambda k: HEAD.unpack(ranges.read(files[k], 0, HEAD.size))
+
+    def ends_before(k: int) -> bool:  # a shard of rows without an id alone comes before all others
+        h = head(k)
+        return h[8] == h[3] or h[9] < doc_id
+
+    low, high = 0, len(files)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if ends_before(middle) else (low, middle)
+    found: list[list[int]] = []
+    for k in range(low, len(files)):
+        _, own, width, n, *_ = head(k)
+        if own != digest:
+            raise ValueError("the shard was written with another dictionary")
+        index = ranges.read(files[k], HEAD.size, 33 * n + 8)
+        ids, valid = np.frombuffer(index, "<i8", n), np.frombuffer(index, "u1", n, 8 * n)
+        offset = np.frombuffer(index, "<i8", n + 1, 25 * n)
+        if not (valid[-1] and ids[-1] >= doc_id):
+            break
+        for i in np.flatnonzero((ids == doc_id) & (valid == 1)):
+            frame = ranges.read(files[k], HEAD.size + 33 * n + 8 + int(offset[i]), int(offset[i + 1] - offset[i]))
+            found.append(np.frombuffer(opened.decompress(frame), id_dtype(width)).tolist())
+        if ids[-1] > doc_id:
+            break
+    return found
 
 
 def with_starts(tokens: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ therefore gives exactly the ids of the whole text; texts with other runs of
 white space are encoded whole. Natural text repeats its chunks, so most of them
 come out of a bounded table of the worker. The table is a set of arrays, keyed
 by 64-bit chunk hashes: a batch of texts is cut, looked up and put together
-without a Python object for each word.
+without a Python object for each word. A hash only finds an entry: its bytes are
+compared with the chunk's, and a chunk that merely shares the hash of another
+one gets an entry of its own.
 """
 
 from __future__ import annotations
@@ -51,8 +53,40 @@ def chunk_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return (h ^ (h >> np.uint64(29))) | np.uint64(1)
 
 
+def words_at(raw: bytes) -> np.ndarray:
+    """The little-endian 8-byte number at every place of ``raw`` (which is padded)."""
+    return np.ndarray((len(raw),), "<u8", raw + b"\0" * 8, strides=(1,)).copy()
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class Chunks:
+    """Byte ranges of a batch with what tells them apart: their length, first and last eight bytes, and the bytes."""
+
+    def __init__(self, raw: bytes, begin: np.ndarray, end: np.ndarray):
+        self.data = np.frombuffer(raw, np.uint8)
+        self.begin, self.length = begin, end - begin
+        word = words_at(raw)
+        short = _MASKS[np.minimum(self.length, 8)]
+        self.head = word[begin] & short
+        self.tail = word[np.maximum(end - 8, begin)] & short
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.begin[which], self.length[which], self.head[which], self.tail[which]
+
+
+def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of all ranges one after another."""
+    end = np.cumsum(length)
+    return np.repeat(begin - end + length, length) + np.arange(int(end[-1]) if len(end) else 0)
+
+
 class Table:
-    """Chunk hash to a run of ids: open addressing, all operations on whole arrays."""
+    """Chunk to a run of ids: open addressing by hash, all operations on whole arrays."""
+
+    #: fields of an entry; the bytes of a chunk and its ids are in pools
+    FIELDS = {"hash": np.uint64, "begin": np.int64, "count": np.int32, "length": np.int32, "head": np.uint64, "tail": np.uint64, "bytes_at": np.int64}
 
     def __init__(self, entries: int):
         self.entries = entries
@@ -63,9 +97,11 @@ class Table:
         self.now = mask
         self.keys = np.zeros(mask + 1, np.uint64)
         self.at = np.zeros(mask + 1, np.int32)
-        self.size, self.used = 0, 0
-        self.hash, self.begin, self.count = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.size, self.used, self.held = 0, 0, 0
+        for name, kind in self.FIELDS.items():
+            setattr(self, name, np.zeros(1024, kind))
         self.pool = np.zeros(4096, np.uint32)
+        self.text = np.zeros(4096, np.uint8)  # bytes of the chunks longer than head and tail
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry numbers, -1 for unknown hashes."""
@@ -79,6 +115,16 @@ class Table:
             left, slot = left[go], (slot[go] + 1) & self.now
         return out
 
+    def differ(self, number: np.ndarray, chunks: Chunks) -> np.ndarray:
+        """Which chunks are not the ones that their entries were made from."""
+        same = (self.length[number] == chunks.length) & (self.head[number] == chunks.head) & (self.tail[number] == chunks.tail)
+        long = np.flatnonzero(same & (chunks.length > 16))
+        if len(long):
+            length = chunks.length[long]
+            equal = self.text[spread(self.bytes_at[number[long]], length)] == chunks.data[spread(chunks.begin[long], length)]
+            same[long] = np.logical_and.reduceat(equal, np.cumsum(length) - length)
+        return np.flatnonzero(~same)
+
     def place(self, h: np.ndarray, number: np.ndarray) -> None:
         slot = (h & np.uint64(self.now)).astype(np.int64)
         while len(h):
@@ -91,20 +137,30 @@ class Table:
             h, number, slot = h[rest], number[rest], slot[rest]
             slot = np.where(self.keys[slot] != 0, (slot + 1) & self.now, slot)
 
-    def add(self, h: np.ndarray, parts: list[np.ndarray]) -> None:
-        """New entries for distinct unknown hashes."""
+    def add(self, h: np.ndarray, parts: list[np.ndarray], chunks: Chunks, which: np.ndarray) -> np.ndarray:
+        """New entries for the chunks ``which``; their numbers."""
         n, total = len(h), sum(map(len, parts))
+        begin, length, head, tail = chunks.of(which)
+        kept = np.where(length > 16, length, 0)
+        more = int(kept.sum())
         while self.size + n > len(self.hash):
-            self.hash, self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.begin, self.count))
+            for name in self.FIELDS:
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.held + more > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         count = np.array([len(p) for p in parts], np.int32)
         new = slice(self.size, self.size + n)
-        self.hash[new], self.count[new] = h, count
+        self.hash[new], self.count[new], self.length[new], self.head[new], self.tail[new] = h, count, length, head, tail
         self.begin[new] = self.used + np.cumsum(count) - count
+        self.bytes_at[new] = self.held + np.cumsum(kept) - kept
         if total:
             self.pool[self.used : self.used + total] = np.concatenate(parts)
-        self.size, self.used = self.size + n, self.used + total
+        if more:
+            self.text[self.held : self.held + more] = chunks.data[spread(begin, kept)]
+        self.size, self.used, self.held = self.size + n, self.used + total, self.held + more
         if 2 * self.size > self.now:
             while 2 * self.size > self.now:
                 self.now = 2 * self.now + 1
@@ -112,13 +168,12 @@ class Table:
             self.place(self.hash[: self.size], np.arange(self.size, dtype=np.int32))
         else:
             self.place(h, np.arange(new.start, new.stop, dtype=np.int32))
+        return np.arange(new.start, new.stop, dtype=np.int32)
 
     def runs(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the entries one after another, and their counts."""
         count = self.count[number].astype(np.int64)
-        end = np.cumsum(count)
-        total = int(end[-1]) if len(end) else 0
-        return self.pool[np.repeat(self.begin[number] - end + count, count) + np.arange(total)], count
+        return self.pool[spread(self.begin[number], count)], count
 
 
 class ChunkEncoder:
@@ -141,6 +196,11 @@ class ChunkEncoder:
         else:
             self.mark = self.ids("|")
 
+    @property
+    def size(self) -> int:
+        """Ids lie below this number."""
+        return max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
@@ -165,6 +225,7 @@ class ChunkEncoder:
         space = np.flatnonzero(data == 32)
         begin, end = space[:-1] + 1, space[1:]
         h = chunk_hashes(data, begin, end)
+        chunks = Chunks(raw, begin, end)
         number = self.table.find(h)
         missing = np.flatnonzero(number < 0)
         if len(missing):
@@ -173,13 +234,17 @@ class ChunkEncoder:
                 missing = np.arange(len(h))
             fresh, first = np.unique(h[missing], return_index=True)
             at = missing[first]
-            chunks = [raw[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())]
+            texts = [raw[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())]
             # the odd ones would spoil a common call
-            odd = np.array([not k or (self.kind == "word" and "|" in k) for k in chunks], bool)
+            odd = np.array([not k or (self.kind == "word" and "|" in k) for k in texts], bool)
             for pick in (np.flatnonzero(~odd), *([i] for i in np.flatnonzero(odd))):
                 if len(pick):
-                    self.table.add(fresh[pick], self.pieces([chunks[i] for i in pick]))
+                    self.table.add(fresh[pick], self.pieces([texts[i] for i in pick]), chunks, at[pick])
             number = self.table.find(h)
+        other = self.table.differ(number, chunks)
+        if len(other):  # they share the hash of another chunk
+            parts = [self.pieces([raw[a:b].decode()])[0] for a, b in zip(begin[other].tolist(), end[other].tolist())]
+            number[other] = self.table.add(h[other], parts, chunks, other)
         return self.table.runs(number)
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
