@@ -45,12 +45,67 @@ def test_edges(spark):
     assert K.pack(empty(spark), WORD).collect() == []
 
 
-def test_neighbours_share_words():
-    rng = np.random.default_rng(1)
-    docs = [np.concatenate([rng.integers(1000 * (k % 5) + 100, 1000 * (k % 5) + 150, 60), rng.integers(1, 60, 20)]) for k in range(60)]
-    df = np.zeros(K.VOCABULARY)
+def topical(n=60, seed=1, longest=90):
+    rng = np.random.default_rng(seed)
+    docs = [np.concatenate([rng.integers(1000 * (k % 5) + 100, 1000 * (k % 5) + 150, 60 if longest == 60 else rng.integers(20, longest)), rng.integers(1, 60, 20)]) for k in range(n)]
+    df = np.zeros(49_408)
     for d in docs:
         df[np.unique(d)] += 1
-    pieces = K.pack_shard(docs, np.log1p((60 - df + 0.5) / (df + 0.5)), 80.0, 512)
+    return docs, np.log1p((n - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+
+
+def test_neighbours_share_words():
+    docs, idf, mean_len = topical(longest=60)
+    pieces = K.pack_shard(docs, idf, mean_len, 512)
     order = list(dict.fromkeys(p[0] for p in pieces))
-    assert sum(a % 5 == b % 5 for a, b in zip(order, order[1:])) >= 54
+    assert sum(a % 5 == b % 5 for a, b in zip(order, order[1:])) >= 50
+
+
+def brute_order(docs, idf, mean_len, window):
+    """The documents in the order in which they are packed, by BM25 over all pairs."""
+
+    def score(q, d):
+        found = 0.0
+        for t in set(q.tolist()):
+            tf = docs[d].tolist().count(t)
+            found += idf[t] * tf * (K.K1 + 1) / (tf + K.K1 * (1 - K.B + K.B * len(docs[d]) / mean_len))
+        return found
+
+    left, order, room, seed = set(range(1, len(docs))), [0], window, 0
+    size = len(docs[0])
+    while True:
+        while size >= room:  # the document fills the window; what is left of it is the next one's seed
+            size, room, seed = size - room, window, order[-1]
+        if size:
+            room -= size
+        if not left:
+            return order
+        best = min(left, key=lambda d: (-round(score(docs[seed], d), 9), d))
+        left.remove(best)
+        order.append(best)
+        if room == window:
+            seed = best
+        size = len(docs[best])
+
+
+def test_windows_are_filled_by_their_seed():
+    for seed in (1, 2, 3):
+        docs, idf, mean_len = topical(40, seed)
+        pieces = K.pack_shard(docs, idf, mean_len, 256)
+        assert list(dict.fromkeys(p[0] for p in pieces)) == brute_order(docs, idf, mean_len, 256)
+
+
+def test_related_documents_share_a_shard(spark):
+    rows = [(i, " ".join(f"topic{i % 40}word{(i // 40 + j) % 9}" for j in range(60)) + f" plain text of document {i}") for i in range(800)]
+    pieces = K.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), WORD, shard_docs=60, window=256).collect()
+    check(rows, pieces, 256)
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, set()).add(p.doc_id % 40)
+    assert sum(len(x) for x in by.values()) / len(by) < 1.5
+
+
+def test_repeated_rows_are_dealt(spark):
+    rows = [(7, "the same words again and again " * 30)] * 400 + [(None, "no id")] * 50
+    pieces = K.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD, shard_tokens=5000).collect()
+    check(rows, pieces)

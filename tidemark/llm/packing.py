@@ -1,12 +1,18 @@
 """Lexical retrieval packing: sharded BM25 neighbours fill token windows greedily.
 
 Documents are encoded once and kept as packed ids. The document frequencies of
-all token ids (bounded by the vocabulary) are counted over the whole corpus; a
-hash deals the documents into shards of about ``shard_docs``. Each shard builds
-an inverted index and follows a chain: a seed document opens a window, the
-best-scoring unused neighbour of the last document fills what is left, and a
-document cut at the window's end opens the next one. The tail of a shard is
-cut into sequences whose lengths are powers of two, which need no padding.
+all token ids (bounded by the vocabulary) are counted over the whole corpus. A
+document's lexical key is its best BM25 terms, the best one first; documents are
+dealt by range of that key, ties by a hash of their place, so documents about
+one thing come to one shard and a key that very many share is cut like any
+other range. A task cuts its range into shards of at most ``SHARD_TOKENS``
+tokens and ``SHARD_DOCS`` documents (a longer document is a shard's last one)
+and holds one shard at a time. Each shard builds an inverted index of all its
+terms. A seed document opens a window; its unused neighbours, the best score of
+all the seed's terms first, fill the window, and documents without a score come
+when there are no others. A document cut at the window's end is the seed of the
+next one. The tail of a shard is cut into sequences whose lengths are powers of
+two, which need no padding.
 
 Null texts count as empty (one end id); empty tables give no rows; repeated
 rows and doc_ids are packed as they stand; long documents are cut over as many
@@ -23,105 +29,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, staged
-from .tokens import encoder
+from .common import arrow_rows, discard, staged
+from .tokens import encoder, spread
 
 WINDOW = 2048
 SHARD_DOCS = 2048
-QUERY_TERMS = 16
+SHARD_TOKENS = 2_000_000
+KEY_TERMS = 3
 K1, B = 1.2, 0.75
-VOCABULARY = 49_408
+
+
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Rows (kind 0): doc_id, packed uint16 ids, count; rows (kind 1): a task's document frequencies by id."""
+    """Rows (kind 0): doc_id, packed ids, count, tie; rows (kind 1): a task's document frequencies by id."""
+    size = max(encoder(tokenizer_path, "word").size, end_id + 1)
+    kind_of = id_type(size)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, "word")
-        seen = np.zeros(VOCABULARY, np.int64)
-        names = ["kind", "doc_id", "ids", "n_tokens"]
+        seen = np.zeros(size, np.int64)
+        names = ["kind", "doc_id", "ids", "n_tokens", "tie"]
         for batch in batches:
             packed, sizes = [], []
             for found in enc.encode_many(batch.column(1).to_pylist()):
                 ids = np.append(found, end_id)
                 seen[np.unique(ids)] += 1
-                packed.append(ids.astype("<u2").tobytes())
+                packed.append(ids.astype(kind_of).tobytes())
                 sizes.append(len(ids))
             kind = pa.array(np.zeros(len(sizes), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], names)
-        columns = [pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([seen.tobytes()], pa.binary()), pa.array([0], pa.int64())]
+            yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2)], names)
+        none = pa.array([None], pa.int64())
+        columns = [pa.array([1], pa.int32()), none, pa.array([seen.tobytes()], pa.binary()), pa.array([0], pa.int64()), none]
         yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(encode, "kind int, doc_id long, ids binary, n_tokens long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    return docs.mapInArrow(encode, "kind int, doc_id long, ids binary, n_tokens long, tie long")
 
 
 def document_frequencies(encoded: DataFrame) -> np.ndarray:
     """Sum of the tasks' counts: a table of the vocabulary's size, added up in a tree of tasks."""
 
     def add(batches):
-        total = np.zeros(VOCABULARY, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.frombuffer(x.as_py(), np.int64)
+                part = np.frombuffer(x.as_py(), np.int64)
+                total = part.copy() if not len(total) else total + part
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["ids"])
 
     parts = encoded.filter("kind = 1").select("ids")
-    sums = parts.repartition(16).mapInArrow(add, "ids binary").collect()
-    return sum((np.frombuffer(bytes(r.ids), np.int64) for r in sums), np.zeros(VOCABULARY, np.int64))
+    sums = [np.frombuffer(bytes(r.ids), np.int64) for r in parts.repartition(16).mapInArrow(add, "ids binary").collect()]
+    sums = [x for x in sums if len(x)]
+    return sum(sums[1:], sums[0]) if sums else np.zeros(1, np.int64)
+
+
+def weights(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids of a document and their BM25 weights."""
+    term, tf = np.unique(ids, return_counts=True)
+    return term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_len))
+
+
+def lexical_key(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> int:
+    """The best ``KEY_TERMS`` terms in one number, the best one highest; ties go to the smaller id."""
+    term, w = weights(ids, idf, mean_len)
+    best = term[np.lexsort((term, -w))[:KEY_TERMS]].tolist()
+    key = 0
+    for t in [*best, *[0] * (KEY_TERMS - len(best))]:
+        key = key << 21 | t
+    return key
 
 
 class ShardIndex:
     """BM25 over one shard: postings by token id with corpus-wide idf."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_len: float):
-        terms, weights, owner = [], [], []
-        self.query: list[np.ndarray] = []
-        for k, ids in enumerate(docs):
-            term, tf = np.unique(ids, return_counts=True)
-            w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_len))
-            best = np.argsort(-w, kind="stable")[:QUERY_TERMS]
-            self.query.append(term[best])
-            terms.append(term)
-            weights.append(w.astype(np.float32))
-            owner.append(np.full(len(term), k, np.int32))
-        term = np.concatenate(terms)
+        found = [weights(ids, idf, mean_len) for ids in docs]
+        sizes = np.array([len(t) for t, _ in found])
+        self.terms = [t for t, _ in found]
+        term = np.concatenate(self.terms)
         order = np.argsort(term, kind="stable")
-        self.weight = np.concatenate(weights)[order]
-        self.owner = np.concatenate(owner)[order]
-        self.begin = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
+        self.weight = np.concatenate([w for _, w in found])[order]
+        self.owner = np.repeat(np.arange(len(docs)), sizes)[order]
+        self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.unused = np.ones(len(docs), bool)
         self.next_seed = 0
 
-    def neighbour(self, k: int) -> int:
-        """Best-scoring unused document for seed ``k``; without a match the first unused one; -1 at the end."""
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.query[k]]
-        found = np.concatenate([self.owner[s] for s in spans]) if spans else np.zeros(0, np.int32)
-        score = np.bincount(found, np.concatenate([self.weight[s] for s in spans]) if spans else None, minlength=len(self.unused))
+    def scores(self, k: int) -> np.ndarray:
+        """BM25 scores of all documents of the shard for the terms of document ``k``."""
+        begin = self.begin[self.terms[k]]
+        at = spread(begin, self.begin[self.terms[k] + 1] - begin)
+        return np.bincount(self.owner[at], self.weight[at], minlength=len(self.unused))
+
+    def neighbours(self, k: int) -> Iterator[int]:
+        """Unused documents for seed ``k``: best score first (ties: the first one), then those without a score."""
+        score = self.scores(k)
         score[~self.unused] = 0
-        best = int(score.argmax())
-        if score[best] > 0:
-            return best
-        while self.next_seed < len(self.unused) and not self.unused[self.next_seed]:
-            self.next_seed += 1
-        return self.next_seed if self.next_seed < len(self.unused) else -1
+        for i in np.argsort(-score, kind="stable").tolist():
+            if score[i] <= 0:
+                break
+            yield i
+        while True:
+            while self.next_seed < len(self.unused) and not self.unused[self.next_seed]:
+                self.next_seed += 1
+            if self.next_seed == len(self.unused):
+                return
+            yield self.next_seed
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_len: float, window: int = WINDOW) -> list[tuple]:
     """Pieces (document, start, length, sequence, offset) of one shard."""
     if not docs:
         return []
-    index, pieces, sequence, used, k = ShardIndex(docs, idf, mean_len), [], 0, 0, 0
-    while k >= 0:
+    index, pieces, sequence, used, k, at = ShardIndex(docs, idf, mean_len), [], 0, 0, 0, 0
+    index.unused[0] = False
+    queue: Iterator[int] | None = None  # neighbours of the open window's seed
+    while True:
+        n = len(docs[k])
+        take = min(window - used, n - at)
+        pieces.append((k, at, take, sequence, used))
+        at, used = at + take, used + take
+        if used == window:
+            sequence, used, queue = sequence + 1, 0, None
+        if at < n:
+            continue
+        if queue is None:
+            queue = index.neighbours(k)  # document k opened the window, or ended the one before
+        after = next(queue, -1)
+        if not used:
+            queue = None
+        if after < 0:
+            break
+        k, at = after, 0
         index.unused[k] = False
-        at, n = 0, len(docs[k])
-        while at < n:
-            take = min(window - used, n - at)
-            pieces.append((k, at, take, sequence, used))
-            at, used = at + take, used + take
-            if used == window:
-                sequence, used = sequence + 1, 0
-        k = index.neighbour(k)
     if not used:
         return pieces
     tail = [p for p in pieces if p[3] == sequence]
@@ -139,54 +181,59 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_len: float, window:
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_docs: int = SHARD_DOCS, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed uint16)."""
+def shards_of(batches: Iterator[pa.RecordBatch], shard_docs: int, shard_tokens: int, kind: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """doc_ids and ids of the shards of a stream (doc_id, ids)."""
+    names, docs, held = [], [], 0
+    for batch in batches:
+        for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names.append(doc_id)
+            docs.append(np.frombuffer(packed.as_py(), kind))
+            held += len(docs[-1])
+            if held >= shard_tokens or len(docs) >= shard_docs:
+                yield names, docs
+                names, docs, held = [], [], 0
+    if docs:
+        yield names, docs
+
+
+def pack(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_docs: int = SHARD_DOCS, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed, 2 bytes each where the vocabulary fits)."""
     arrow_rows(docs.sparkSession)
     encoded = staged(encode_documents(docs, tokenizer_path, end_id), "packed-ids")
     df = document_frequencies(encoded)
-    rows = encoded.filter("kind = 0").select("doc_id", "ids", "n_tokens")
-    n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    kind = id_type(max(encoder(tokenizer_path, "word").size, end_id + 1))
+    rows = encoded.filter("kind = 0").select("doc_id", "ids", "tie")
+    n, tokens = encoded.filter("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     mean_len = max(tokens / max(n, 1), 1.0)
-    shards = max(1, -(-n // shard_docs))
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [lexical_key(np.frombuffer(x.as_py(), kind), idf, mean_len) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "ids", "tie", "lexical"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, group in by_key(batches):
-            group.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-            ids = [np.frombuffer(x, "<u2") for _, x in group]
-            out = [[] for _ in range(8)]
+        from pyspark import TaskContext
+
+        sequences = TaskContext.get().partitionId() << 32
+        for names, ids in shards_of(batches, shard_docs, shard_tokens, kind):
+            out, last = [[] for _ in range(8)], -1
             for k, start, length, sequence, offset in pack_shard(ids, idf, mean_len, window):
                 piece = ids[k][start : start + length]
-                row = (group[k][0], start, length, zlib.crc32(piece.astype("<u4").tobytes()), len(ids[k]), (shard << 32) + sequence, offset, piece.tobytes())
+                row = (names[k], start, length, zlib.crc32(piece.astype("<u4").tobytes()), len(ids[k]), sequences + sequence, offset, piece.tobytes())
+                last = max(last, sequence)
                 for column, x in zip(out, row):
                     column.append(x)
+            sequences += last + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j == 7 else pa.int64()) for j, c in enumerate(out)], PIECE_NAMES)
 
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "doc_id", "ids")
-    dealt = salt_copies(dealt, shards)
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, PIECE_SCHEMA)
+    keyed = staged(rows.mapInArrow(key, "doc_id long, ids binary, tie long, lexical long"), "lexical-keys")
+    discard(encoded)
+    dealt = keyed.repartitionByRange("lexical", "tie").sortWithinPartitions("lexical", "tie")
+    return dealt.select("doc_id", "ids").mapInArrow(build, PIECE_SCHEMA)
 
 
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-
-
-def salt_copies(dealt: DataFrame, shards: int) -> DataFrame:
-    """Rows without a doc_id and with equal texts would share a shard; they are dealt by their place instead."""
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
-    return dealt.withColumn("shard", F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("shard")))
-
-
-def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Groups (key, rows without it) of a stream that is sorted by its first column."""
-    key, rows = None, []
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for first, *rest in zip(*columns):
-            if rows and first != key:
-                yield key, rows
-                rows = []
-            key = first
-            rows.append(tuple(rest))
-    if rows:
-        yield key, rows
