@@ -1,6 +1,10 @@
+import itertools
 import re
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.llm import quality as Q
 from tidemark.llm import url_lists as U
 
@@ -54,3 +58,22 @@ def test_edges(spark):
     docs = edge(spark)
     order = Q.rule_order(docs, Q.rules())
     assert sorted(order) == sorted(Q.rules())
+
+
+def test_rules_behind_a_rejection_are_not_evaluated(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    fails = F.when(F.col("text") == "a", F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)).cast("boolean")
+    found = {"first": F.col("text") == "a", "second": fails}
+    kept = rows.select("doc_id", Q.cascade(["first", "second"], found).alias("kept")).collect()
+    assert {r.doc_id: r.kept for r in kept} == {1: False, 2: True}
+    with pytest.raises(Exception, match="evaluated"):
+        rows.select(Q.cascade(["second", "first"], found)).collect()
+
+
+def test_the_order_never_changes_the_verdict(spark):
+    text = "word 12 34 ## 56 " * 30
+    rows = [(1, text), (2, "plain words of a text " * 30), (3, "\n".join(["same line of some words here"] * 40)), (4, " ".join(f"word{i}" for i in range(80)))]
+    docs = Q.measures(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = Q.rules()
+    seen = {tuple(sorted((r.doc_id, r.kept) for r in docs.select("doc_id", Q.cascade(list(order), found).alias("kept")).collect())) for order in itertools.permutations(found)}
+    assert len(seen) == 1
