@@ -91,7 +91,8 @@ def rule_order(docs: DataFrame, found: dict[str, Column]) -> list[str]:
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = staged(measures(docs.filter(chosen).limit(2 * SAMPLE_DOCS)).filter(~base_failed()), "rule-sample")
+    kept = staged(measures(docs.filter(chosen).limit(2 * SAMPLE_DOCS)), "rule-sample")
+    sample = kept.filter(~base_failed())  # the rules run on what passes the base verdict
     bare = F.size("words") < 0  # reads what the rules read
 
     def run(reject: Column) -> tuple[float, int, int]:
@@ -107,7 +108,7 @@ def rule_order(docs: DataFrame, found: dict[str, Column]) -> list[str]:
     for name, reject in found.items():
         took, rejected, rows = run(bare | reject)
         score[name] = (rejected / max(rows, 1)) / max(took - idle, 1e-3)
-    discard(sample)
+    discard(kept)
     return sorted(found, key=lambda name: (-score[name], name))
 
 
