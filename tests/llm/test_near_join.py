@@ -2,6 +2,9 @@ import collections
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tidemark.llm import components as C
 from tidemark.llm import near_join as J
 
@@ -63,14 +66,14 @@ def test_groups_of_near_copies_across_blocks(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
-def test_keep_one(spark):
-    df = edge(spark)
-    kept = J.keep_one(df)
-    assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    classes = {r.class_id for r in J.join(df).collect() if r.class_id is not None}
-    assert len(ids) == len(set(ids)) and {1, 3, 4, 5, 6, 7, 8, 9, 10} >= set(ids) and classes >= set(ids)
-    assert kept.filter("doc_id IS NULL").count() == 2
+def test_one_of_each_class(spark):
+    df = edge(spark).withColumns({c: F.lit(5) for c in ("near_row_id", "near_row_t", "near_id", "near_t", "component", "t")})
+    kept = J.one_of_each_class(df)
+    assert kept.columns == df.columns and {r.near_row_id for r in kept.collect()} == {5}
+    wordy = [r for r in kept.collect() if (r.text or "").strip()]
+    classes = brute([(r[0], r[1]) for r in edge_rows() if (r[1] or "").strip()])
+    assert len(wordy) == 7 and {r.doc_id for r in wordy} <= {c for _, c, _ in classes}
+    assert sum(not (r.text or "").strip() for r in kept.collect()) == sum(not (r[1] or "").strip() for r in edge_rows())
 
 
 def test_components(spark):
@@ -92,10 +95,50 @@ def test_components(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_prefix_reaches_the_recall():
-    n = J.prefix_length()
-    assert 1 - (1 - J.THRESHOLD**n) ** J.TREES >= J.RECALL
-    assert n == J.DEPTH or 1 - (1 - J.THRESHOLD ** (n + 1)) ** J.TREES < J.RECALL
+def test_prefixes_are_shortened_until_the_recall():
+    none = np.zeros(J.BINS + 1)
+    sure = max(p for p in range(1, J.DEPTH + 1) if J.meeting(J.THRESHOLD, p) >= J.RECALL)
+    assert J.next_depth(J.DEPTH, none, J.THRESHOLD) == sure  # with nothing found, a pair at the threshold decides
+    near = none.copy()
+    near[98] = 1e6
+    assert J.next_depth(J.DEPTH, near, J.THRESHOLD) == J.DEPTH
+    low = none.copy()
+    low[80] = 1e6
+    assert J.next_depth(J.DEPTH, low, J.THRESHOLD) == sure == J.next_depth(sure, low, J.THRESHOLD)
+
+
+def test_pairs_are_verified_in_one_place():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 60)
+    rows = []
+    for k in range(40):
+        s = base.copy()
+        s[rng.integers(0, 60, 4)] = rng.integers(0, 1 << 40, 4)
+        rows.append(np.unique(s).astype(np.uint64))
+    sig = np.array([J.signature(s, J.TREES * J.DEPTH).reshape(J.TREES, J.DEPTH) for s in rows])
+    key = lambda p: [np.array([hash(tuple(x[:p])) for x in one], np.int64).tobytes() for one in sig]
+    times = np.zeros((40, 40), int)
+    for p, before in ((8, None), (5, 8)):
+        member = list(zip(range(40), map(len, rows), key(p), key(before) if before else [None] * 40))
+        for tree in range(J.TREES):
+            times += J.met(member, member, tree, True, 0.8)
+    meets = np.array([[any((sig[i, t, :5] == sig[j, t, :5]).all() for t in range(J.TREES)) for j in range(40)] for i in range(40)])
+    sizes = np.array([[5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) for b in rows] for a in rows])
+    assert (times == np.triu(meets & sizes, 1)).all() and times.sum() > 100
+
+
+def test_rows_without_an_id(spark):
+    rng, rows = random.Random(2), []
+    for g in range(300):
+        base = [f"g{g}w{rng.randint(0, 999)}" for _ in range(40)]
+        rows += [(None, " ".join(base)), (None, " ".join(base[:-1])), (None, " ".join(base))][: 1 + g % 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+
+
+def test_hubs_have_bounded_fans():
+    links = J.forest(np.array([(0, k) for k in range(1, 5000)]))
+    assert len(links) == 4999 and max(collections.Counter(i for i, _ in links).values()) <= J.FAN
 
 
 def test_pipeline_keeps_one_row_of_each_class_whatever_the_ids(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import discard, remove, shared_dir, staged, work_path
 
-__all__ = ["SPACE_CLASS", "arrow_rows", "discard", "load", "remove", "shared_dir", "staged", "words_of", "work_path"]
+__all__ = ["SPACE_CLASS", "arrow_rows", "discard", "fresh", "load", "remove", "shared_dir", "staged", "words_of", "work_path"]
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,18 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text):
     """Column: the words of a text as an array (null and blank texts: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
