@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, discard, staged
-from .tokens import encoder, spread
+from .tokens import encoder
 
 WINDOW = 2048
 SHARD_DOCS = 2048
@@ -119,9 +119,9 @@ class ShardIndex:
 
     def scores(self, k: int) -> np.ndarray:
         """BM25 scores of all documents of the shard for the terms of document ``k``."""
-        begin = self.begin[self.terms[k]]
-        at = spread(begin, self.begin[self.terms[k] + 1] - begin)
-        return np.bincount(self.owner[at], self.weight[at], minlength=len(self.unused))
+        spans = [slice(a, b) for a, b in zip(self.begin[self.terms[k]].tolist(), self.begin[self.terms[k] + 1].tolist())]
+        owner, weight = np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
+        return np.bincount(owner, weight, minlength=len(self.unused))
 
     def neighbours(self, k: int) -> Iterator[int]:
         """Unused documents for seed ``k``: best score first (ties: the first one), then those without a score."""
