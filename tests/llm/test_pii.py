@@ -75,3 +75,28 @@ def test_one_or_two_lines_disclose_terms(spark):
     assert got[1].startswith("term:5:7,term:8:13,email:14:22,phone:")
     assert got[2] == "term:0:3,email:9:18" and got[3] == "email:0:9,term:16:19"
     assert got[4] == "email:11:20" and got[100] == ""
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"a{i}@m{i}.example.org é {i % 256}.1.2.3\n" for i in range(n))
+        rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        found = P.with_base_spans(rows).select(P.span_text(F.col("base")).alias("s")).first().s.split(",")
+        spent = time.perf_counter() - began
+        want = [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(r"(?P<email>a\d+@m\d+\.example\.org)|\d+\.1\.2\.3", text) for k in ["email" if m["email"] else "ip"]]
+        assert found == want
+        return spent
+
+    took(100)
+    assert took(16_000) < 15
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["base", "spans", "pii_h", "pii_n", "pii_terms", "PII_M_EMAIL", "pii_base", "pii_spans", "line", "term"]
+    rows = spark.createDataFrame([(1, "write to a@b.example now"), (2, None)], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    got = {r.doc_id: r for r in P.sanitise(rows).collect()}
+    assert got[1].text == "write to [EMAIL] now" and got[2].text is None
+    assert all(got[i][n] == n for i in (1, 2) for n in names)

@@ -2,13 +2,12 @@
 
 Base spans come from four patterns (email, ip, card, phone), leftmost and
 without overlap per kind; matches that fail their check are dropped. A match's
-place follows from a fold over the matches of a text: no pattern looks behind
-its start, so the first place at which a match's own characters occur after
-the match before is the place where the pattern found it.
+place follows from the lengths of the matches and of the pieces between them,
+summed in runs of ``RUN``, so the work grows with the text.
 
 The method adds spans of kind ``term``. Every valid match is a protected
-entity; its context is the words of its line, ``CONTEXT_WORDS`` on either side,
-and equal lines count once, so copies lend no support. Over the corpus's lines a term
+entity; its context is the words of its line, ``CONTEXT_WORDS`` (and at most
+``CONTEXT_CHARS`` characters) on either side, and equal lines count once, so copies lend no support. Over the corpus's lines a term
 reveals entity e by log2(p(e | term) / p(e)) bits, p(e | term) being the share
 of the term's distinct lines that have it near e, smoothed by one more line without e. Terms with
 p(e | term) >= ``MIN_SHARE`` (unsmoothed), ``MIN_BITS`` bits and ``MIN_EVIDENCE`` bits over all of their lines with e
@@ -18,7 +17,7 @@ their kind.
 
 Null texts count as empty. Repeated rows and ids keep one result each. Texts of
 any length are searched whole. Empty tables give no rows. Extra columns pass
-through :func:`sanitise` and are ignored elsewhere.
+through, whatever their names: spans have the names that the caller asks for.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, staged
+from .common import SPACE_CLASS, fresh, staged
 
 #: The patterns of the contract, with possessive repeats and starts that cannot differ from the
 #: leftmost match but keep the search linear on long runs.
@@ -39,6 +38,8 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 ORDER = {k: i for i, k in enumerate([*KINDS, "term"])}
 CONTEXT_WORDS = 5
+CONTEXT_CHARS = 400
+RUN = 64
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
 MIN_EVIDENCE = 10.0  # chance brings a term and an entity together less often than once in 2^10
@@ -78,26 +79,49 @@ def matches(kind: str, text: Column) -> Column:
     return F.when(sign, found).otherwise(F.array().cast("array<string>"))
 
 
-def placed(kind: str, found: Column, text: Column) -> Column:
-    """Spans of the valid ones among the matches of one kind."""
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often a loop in the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts(pieces: Column, found: Column) -> Column:
+    """Places of the matches ``found`` between the ``pieces`` of a text: running sums, in two steps."""
+    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def add(acc, x):
+        return F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["p"])).alias("starts"))
+
+    def summed(steps):
+        runs = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int"))
+        return F.transform(runs, lambda k: F.aggregate(F.slice(steps, k * RUN + 1, F.lit(RUN)), zero, add))
+
+    def shift(acc, run):
+        moved = F.transform(run["starts"], lambda x: x + acc["at"])
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["runs"], F.array(moved)).alias("runs"))
 
-    def step(acc, m):
-        at = F.call_function("locate", m, text, acc["at"])
-        span = F.struct((at - 1).alias("start"), F.lit(ORDER[kind]).alias("ord"), (at - 1 + F.length(m)).alias("stop"), m.alias("value")).cast(SPAN)
-        spans = F.when(valid(kind, m), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((at + F.length(m)).alias("at"), spans.alias("spans"))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("runs"))
+    return F.flatten(F.aggregate(let(steps, summed), whole, shift)["runs"])
 
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.aggregate(found, start, step)["spans"]
 
+def located(kind: str, found: Column, pieces: Column) -> Column:
+    """Spans of all matches of one kind."""
+    span = lambda at, m: F.struct(at.alias("start"), F.lit(ORDER[kind]).alias("ord"), (at + F.length(m)).alias("stop"), m.alias("value"))
+    return F.when(F.size(found) > 0, F.zip_with(starts(pieces, found), found, span)).otherwise(F.array()).cast(f"array<{SPAN}>")
 
-def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+
+def placed(kind: str, found: Column, text: Column) -> Column:
+    """Spans of the valid ones among the matches of one kind."""
+    return F.filter(located(kind, found, F.split(text, PATTERNS[kind], -1)), lambda s: valid(kind, s["value"]))
+
+
+def with_base_spans(docs: DataFrame, base: str = "base") -> DataFrame:
     """``docs`` with ``base``: all base spans by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("text"), F.lit(""))
     kept = docs.columns
-    found = docs.select("*", *(matches(k, t).alias(f"pii_m_{k}") for k in KINDS))
-    spans = found.select(*kept, *(placed(k, F.col(f"pii_m_{k}"), t).alias(f"pii_s_{k}") for k in KINDS))
-    return spans.select(*kept, F.sort_array(F.concat(*(f"pii_s_{k}" for k in KINDS))).alias("base"))
+    marks = fresh(docs, *(f"pii_m_{k}" for k in KINDS))
+    found = docs.select("*", *(matches(k, t).alias(m) for k, m in zip(KINDS, marks)))
+    return found.select(*kept, F.sort_array(F.concat(*(placed(k, F.col(m), t) for k, m in zip(KINDS, marks)))).alias(base))
 
 
 def span_text(spans: Column) -> Column:
@@ -117,10 +141,11 @@ def terms_of(text: Column) -> Column:
 def contexts(spanned: DataFrame) -> DataFrame:
     """entity, line (hash), context: the words around each entity in its line, with all base spans blanked."""
     text = F.coalesce("text", F.lit(""))
-    hit = spanned.filter(F.size("base") > 0).select(text.alias("text"), F.explode("base").alias("span"))
+    hit = spanned.select(text.alias("text"), F.explode("base").alias("span"))
     before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("span.start")), "\n", -1)
     after = F.substring_index(F.substring(F.col("text"), F.col("span.stop") + 1, F.length("text")), "\n", 1)
-    hit = hit.select(F.lower("span.value").alias("entity"), F.xxhash64(before, "span.value", after).alias("line"), F.split(before, SPACE_CLASS).alias("b"), F.split(after, SPACE_CLASS).alias("a"))
+    near = lambda side, where: F.split(F.substring(side, where * CONTEXT_CHARS if where < 0 else 1, CONTEXT_CHARS), SPACE_CLASS)
+    hit = hit.select(F.lower("span.value").alias("entity"), F.xxhash64(before, "span.value", after).alias("line"), near(before, -1).alias("b"), near(after, 1).alias("a"))
     side = lambda words: F.array_join(words, " ")
     first = F.greatest(F.size("b") - CONTEXT_WORDS, F.lit(1))
     context = F.concat_ws(" ", side(F.slice("b", first, F.lit(CONTEXT_WORDS + 1))), side(F.slice("a", 1, CONTEXT_WORDS + 1)))
@@ -164,27 +189,21 @@ def term_spans(text: Column, terms: Column) -> Column:
     pieces = F.call_function("split", text, pattern)
     found = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["piece"])
-        span = F.struct(start.alias("start"), F.lit(ORDER["term"]).alias("ord"), (start + F.length(pair["m"])).alias("stop"), pair["m"].alias("value")).cast(SPAN)
-        return F.struct((start + F.length(pair["m"])).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("m")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")), step)["spans"]
+    return located("term", found, pieces)
 
 
-def with_spans(docs: DataFrame, **thresholds) -> DataFrame:
+def with_spans(docs: DataFrame, base: str = "base", spans: str = "spans", **thresholds) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (base and term spans by start, then kind)."""
-    spanned = with_base_spans(docs)
-    risky = disclosing_terms(spanned, **thresholds)
+    spanned = with_base_spans(docs, base)
+    risky = disclosing_terms(with_base_spans(docs.select("text")), **thresholds)
     if risky is None:
-        return spanned.withColumn("spans", F.col("base"))
-    held = small(staged(risky.groupBy("pii_h", "pii_n").agg(F.collect_set("term").alias("pii_terms")), "disclosing-terms"), 1)
-    found = spanned.withColumns({"pii_h": F.xxhash64("text"), "pii_n": F.length("text")}).join(held, ["pii_h", "pii_n"], "left").drop("pii_h", "pii_n")
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    added = F.when(F.size("pii_terms") > 0, F.filter(term_spans(F.col("text"), F.col("pii_terms")), clear))
-    spans = F.sort_array(F.concat("base", F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))
-    return found.withColumn("spans", spans).drop("pii_terms")
+        return spanned.withColumn(spans, F.col(base))
+    h, n, terms = fresh(spanned, "pii_h", "pii_n", "pii_terms")
+    held = staged(risky.groupBy(F.col("pii_h").alias(h), F.col("pii_n").alias(n)).agg(F.collect_set("term").alias(terms)), "disclosing-terms")
+    found = spanned.withColumns({h: F.xxhash64("text"), n: F.length("text")}).join(small(held, 1), [h, n], "left").drop(h, n)
+    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    added = F.when(F.size(terms) > 0, F.filter(term_spans(F.col("text"), F.col(terms)), clear))
+    return found.withColumn(spans, F.sort_array(F.concat(base, F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))).drop(terms)
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -203,7 +222,8 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with every span of ``text`` generalised; its other columns stay, ``n_chars`` follows the text."""
     columns = docs.columns
-    done = with_spans(docs, **thresholds).withColumn("text", masked(F.col("text"), F.col("spans")))
+    base, spans = fresh(docs, "pii_base", "pii_spans")
+    done = with_spans(docs, base, spans, **thresholds).withColumn("text", masked(F.col("text"), F.col(spans)))
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return done.select(*columns)
