@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import substring_dedup as D
 from tidemark.llm.suffix_order import suffix_order
@@ -19,11 +20,11 @@ def test_suffix_order_equals_sorting():
 
 def brute(docs):
     seen, out = {}, {}
-    key = lambda i: D.LAST_ID if i is None else i
+    key = lambda i: 2**63 if i is None else i
     for i, t in docs:
         b = (t or "").encode()
         for p in range(len(b) - 49):
-            seen[b[p : p + 50]] = min(seen.get(b[p : p + 50], D.LAST_ID), key(i))
+            seen[b[p : p + 50]] = min(seen.get(b[p : p + 50], 2**63), key(i))
     for i, t in docs:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
@@ -63,3 +64,15 @@ def test_random_documents(spark, monkeypatch):
 def test_edges(spark):
     assert found(edge(spark)) == brute([(r[0], r[1]) for r in edge_rows()])
     assert found(empty(spark)) == {}
+
+
+def test_the_greatest_id_and_rows_without_one(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = [" ".join(word() for _ in range(30)) for _ in range(4)]
+    ids = [2**63 - 1, None, None, 5, 5, 2**63 - 2, -7]
+    rows = [(i, " ".join([word(), rng.choice(passage), word(), rng.choice(passage), rng.choice(passage)])) for i in ids * 4]
+    rows += [(None, rows[0][1]), (5, rows[3][1]), (5, rows[3][1]), (None, "none " * 40), (None, "none " * 40)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    with pytest.raises(ValueError):
+        D.shift_of(spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "doc_id long"))

@@ -10,7 +10,8 @@ share one. A run of windows with one anchor is a segment of at most 72 bytes.
 
 0. Of documents with equal texts (at least 50 bytes) the first alone is drawn on;
    the others go whole.
-1. Segments (anchor, content hash, document, place) are dealt by anchor. Anchors
+1. Segments (anchor, content hash, document, place) are dealt by anchor, a text's
+   equal ones as one row. Anchors
    in one document only fall out. A segment whose content an earlier document
    has is removed whole. What is left of a shared anchor, the first holders of
    each content, may share some windows with contents of another kind.
@@ -21,6 +22,9 @@ share one. A run of windows with one anchor is a segment of at most 72 bytes.
 3. Anchors with more than ``HOT_HOLDERS`` holders are not gathered in one task:
    their windows are dealt one by one, by a 128-bit hash of their bytes.
 
+Contents are told apart by 64-bit hashes among the segments of one 64-bit anchor
+hash; whole texts and windows of hot anchors by 128 bits.
+
 Null texts count as empty. A null doc_id counts as greater than all ids. Rows
 with equal doc_ids never remove each other's bytes, as neither id is smaller.
 Texts below 50 bytes stay whole. Empty tables give no rows. Extra columns of the
@@ -29,14 +33,12 @@ input are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, discard, staged
@@ -138,21 +140,44 @@ def batches_of(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes
         yield run_ids, run
 
 
-SEGMENT = "key long, content long, doc long, spot long"
+SEGMENT = "key long, content long, doc long, row long, spot long, more array<long>"
+
+
+def first_of(owner: np.ndarray, key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, list]:
+    """The segments that are the first of their kind in their text, and the numbers of the others of each (None where there are none)."""
+    with np.errstate(over="ignore"):
+        kind = mix(key.view(np.uint64) ^ mix(content.view(np.uint64) + owner.astype(np.uint64) * A))
+    order = np.argsort(kind, kind="stable")
+    same = kind[order][1:] == kind[order][:-1]
+    if not same.any():
+        return np.arange(len(kind)), [None] * len(kind)
+    head = np.flatnonzero(np.r_[True, ~same])
+    sizes = np.diff(np.r_[head, len(kind)])
+    others: dict[int, np.ndarray] = {}
+    for a, n in zip(head[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        others[int(order[a])] = order[a + 1 : a + n]
+    first = np.sort(order[head])
+    return first, [others.get(i) for i in first.tolist()]
 
 
 def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text) to segments; ``spot`` packs start, anchor's offset and windows."""
+    """Rows (doc, row, text) to segments; ``spot`` packs start, anchor's offset and windows; a text's equal segments are one row, ``more`` has the others' spots."""
+    names = ["key", "content", "doc", "row", "spot", "more"]
     for batch in batches:
-        texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-        for ids, run in batches_of(batch.column(0).to_pylist(), texts):
+        texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+        marks = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for ids, run in batches_of(marks, texts):
             owner, start, ahead, windows, key, content = segments(run)
-            doc = np.array(ids, np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc, start << 16 | ahead << 8 | windows)], ["key", "content", "doc", "spot"])
+            spot = start << 16 | ahead << 8 | windows
+            first, others = first_of(owner, key, content)
+            mark = np.array(ids, np.int64).reshape(-1, 2)[owner[first]]
+            more = pa.array([None if x is None else spot[x] for x in others], pa.list_(pa.int64()))
+            columns = [key[first], content[first], mark[:, 0], mark[:, 1], spot[first]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more], names)
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """doc, spot, key, kind of the segments that matter: 0 removed whole, 1 a holder to compare, 2 a holder of a hot anchor."""
+    """doc, row, spot, key, kind of the segments that matter: 0 removed whole, 1 a holder to compare, 2 a holder of a hot anchor."""
     same = Window.partitionBy("key", "content")
     anchor = Window.partitionBy("key")
     dealt = found.repartition("key").withColumn("first", F.min("doc").over(same))
@@ -165,31 +190,22 @@ def classify(found: DataFrame) -> DataFrame:
         }
     ).filter("least < most AND (doc > first OR NOT one)")
     kind = F.when(F.col("doc") > F.col("first"), 0).when(F.col("holders") <= HOT_HOLDERS, 1).otherwise(2)
-    return dealt.select("doc", "spot", "key", "content", kind.cast("int").alias("kind"))
+    spots = F.explode(F.concat(F.array("spot"), F.coalesce("more", F.array().cast("array<long>")))).alias("spot")
+    return dealt.select("doc", "row", spots, "key", "content", kind.cast("int").alias("kind"))
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, row, text, wanted) to the holders' bytes (kind 1) and to hashes of single windows (kind 2).
-
-    Spots are checked against the text, so rows that repeat an id get their own ones alone (kind 0 too, if asked).
-    """
+    """Rows (doc, row, text, wanted) to the holders' bytes (kind 1) and to hashes of single windows (kind 2)."""
     names = ["kind", "key", "second", "doc", "row", "spot", "bytes"]
     for batch in batches:
         docs, marks, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()
         for doc, mark, text, asked in zip(docs, marks, texts, wanted):
             raw = text.as_buffer().to_pybytes()
             v, rows, hot = words_at(raw), [], []
-            spot = np.array([a["spot"] for a in asked], np.int64)
-            start, windows = spot >> 16, spot & 255
-            fits = start + windows + WINDOW - 1 <= len(raw)
-            content = np.zeros(len(spot), np.int64)
-            content[fits] = content_hashes(v, start[fits], windows[fits] + WINDOW - 1).view(np.int64)
-            for i, a in enumerate(asked):
-                if not fits[i] or content[i] != a["content"]:
-                    continue  # asked of another row with the same id
-                s, n = int(start[i]), int(windows[i])
+            for a in asked:
+                s, n = a["spot"] >> 16, a["spot"] & 255
                 if a["kind"] < 2:
-                    rows.append((a["kind"], a["key"], 0, doc, mark, a["spot"], raw[s : s + n + WINDOW - 1] if a["kind"] else None))
+                    rows.append((a["kind"], a["key"], 0, doc, mark, a["spot"], raw[s : s + n + WINDOW - 1]))
                 else:
                     hot.extend(range(s, s + n))
             if hot:
@@ -338,14 +354,6 @@ def cover(raw: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[int, int,
     return len(raw), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def release(spark: SparkSession) -> None:
-    """Let the cleaner, which works in a thread of its own, drop the shuffle files of plans that are done."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def copies_of(rows: DataFrame) -> DataFrame:
     """doc, row of the texts of at least a window that a smaller doc has word for word (by a 128-bit hash)."""
     marked = rows.filter(F.octet_length("text") >= WINDOW).select("doc", "row", F.xxhash64("text").alias("h0"), F.xxhash64("text", F.lit(1)).alias("h1"))
@@ -353,11 +361,22 @@ def copies_of(rows: DataFrame) -> DataFrame:
     return staged(marked.join(least, ["h0", "h1"]).filter("doc > least").select("doc", "row").distinct(), "copies")
 
 
+def shift_of(docs: DataFrame) -> int:
+    """What to take from all ids so that ``LAST_ID`` is free for rows without one."""
+    least, most = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    if most != LAST_ID:
+        return 0
+    if least == -LAST_ID - 1:
+        raise ValueError("ids from the least to the greatest long leave no place for rows without an id")
+    return 1
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     arrow_rows(spark, 500)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    shift = shift_of(docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long") - F.lit(shift), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     repeats = not rows.groupBy("doc").count().filter("count > 1").isEmpty()
     rows = rows.select("doc", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("row"), "text")
     copies = copies_of(rows)
@@ -365,20 +384,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     side = F.broadcast(copies) if small else copies
     whole_rows = rows.join(side, ["doc", "row"], "left_semi")
     rows = rows.join(side, ["doc", "row"], "left_anti")
-    known = staged(classify(rows.filter(F.octet_length("text") >= WINDOW).select("doc", "text").mapInArrow(draw, SEGMENT)), "shared-segments")
-    release(spark)
-    asked = known if repeats else known.filter("kind > 0")
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("spot", "key", "content", "kind")).alias("wanted"))
+    # rows that repeat id and text are drawn on once
+    once = rows.groupBy("doc", "row").agg(F.first("text").alias("text")) if repeats else rows
+    known = staged(classify(once.filter(F.octet_length("text") >= WINDOW).select("doc", "row", "text").mapInArrow(draw, SEGMENT)), "shared-segments")
+    wanted = known.filter("kind > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("spot", "key", "kind")).alias("wanted"))
     schema = "kind int, key long, second long, doc long, row long, spot long, bytes binary"
-    held = staged(rows.join(wanted, "doc").select("doc", "row", "text", "wanted").mapInArrow(cut_out, schema), "holders")
+    held = staged(once.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(cut_out, schema), "holders")
     sorted_ = held.filter("kind = 1").select("key", "doc", "row", "spot", "bytes").repartition("key").sortWithinPartitions("key", "doc", "spot")
     by_order = sorted_.mapInArrow(compare, "doc long, row long, spot long")
     hot = held.filter("kind = 2")
     least = hot.groupBy("key", "second").agg(F.min("doc").alias("least"))
     by_hash = hot.join(least, ["key", "second"]).filter("doc > least").select("doc", "row", "spot")
-    whole = held.filter("kind = 0").select("doc", "row", "spot") if repeats else known.filter("kind = 0").select("doc", F.lit(0).cast("long").alias("row"), "spot")
+    whole = known.filter("kind = 0").select("doc", "row", "spot")
     removed = staged(whole.unionByName(by_order).unionByName(by_hash), "removed")
-    release(spark)
     spots = removed.groupBy("doc", "row").agg(F.collect_list("spot").alias("spots"))
     done = rows.join(spots, ["doc", "row"], "left").select("doc", "text", "spots").mapInArrow(
         finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -386,4 +404,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     size = F.octet_length("text").cast("long")
     gone = whole_rows.select("doc", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     done = done.unionByName(gone)
-    return done.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select(F.when(F.col("doc") != LAST_ID, F.col("doc") + F.lit(shift)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
