@@ -130,6 +130,82 @@ def test_windows_and_tiles(spark):
         windows.slice_bounds(20, 5, "middle")
 
 
+def test_part_sizes_of_short_campaigns():
+    got = [windows.part_sizes(n, 0.2, 0.15, 3, 2) for n in range(1, 11)]
+    assert got == [(1, 0), (1, 0), (1, 1), (1, 1), (1, 1), (3, 2), (3, 2), (3, 2), (3, 2), (3, 2)]
+
+
+def test_windows_of_parts_share_no_sample(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(minutes=10 * i), float(i % 7), True) for i in range(6 * 144)]
+    df = spark.createDataFrame(rows, "idx long, ts timestamp_ntz, flow double, valid boolean")
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(6)]
+    parts = windows.partition_days(days, 0.2, 0.15, 1, 1, 3)
+    table = windows.partition_table(spark, parts)
+    made = windows.build_partitions(df, table, 12, 5, arrays=False).collect()
+    held = {}
+    for r in made:
+        for i in range(r.start, r.start + 12):
+            held.setdefault(i, set()).add(r.part)
+            assert (start + timedelta(minutes=10 * i)).date() in parts[r.part]
+    assert {p for ps in held.values() for p in ps} == {p for p, ds in parts.items() if ds} and all(len(ps) == 1 for ps in held.values())
+    found = {r.part: r.n_days for r in windows.partition_summary(table).collect()}
+    assert found == {p: len(ds) for p, ds in parts.items() if ds}
+
+
+def test_plain_split():
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(28)]
+    parts = windows.split_days(days)
+    assert sorted(d for ds in parts.values() for d in ds) == days
+    assert (len(parts["test"]), len(parts["val"])) == (5, 4) and sum(d.weekday() >= 5 for d in parts["test"]) == 1
+    assert windows.split_days(days) == parts
+
+
+def test_predicted_trace_is_whole(spark):
+    rng = np.random.default_rng(2)
+    flow = rng.uniform(0, 3, 100)
+    flow[20:60] = 0.0
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, start + timedelta(seconds=i), float(x), True) for i, x in enumerate(flow)], "idx long, ts timestamp_ntz, flow double, valid boolean")
+    config = allocate.ModelConfig(n_fixtures=2, hidden=4, layers=1)
+    w, names = allocate.random_weights(config), ["a", "b"]
+    low, high = windows.slice_bounds(20, 5, "center")
+    for skip in (True, False):
+        found = allocate.predict_trace(df, w, config, names, 20, 5, skip_idle=skip)
+        got = {(r.idx, r.fixture): r for r in found.collect()}
+        assert len(got) == 200
+        for s in range(0, 81, 5):
+            idle = skip and not (flow[s : s + 20] > 0.05).any()
+            want = allocate.forward(flow[None, s : s + 20], w, config)["flow"][0]
+            for i in range(s + low, s + high):
+                for k, f in enumerate(names):
+                    assert got[i, f].covered and abs(got[i, f].flow - (0.0 if idle else want[i - s, k])) < 1e-9
+        assert not any(got[i, "a"].covered or got[i, "a"].flow for i in [*range(low), *range(80 + high, 100)])
+    summary = allocate.prediction_summary(found, df, 1.0).first()
+    assert summary.samples == 100 and summary.covered == 80 + high - low
+    share = {i: got[i, "a"].unattributed for i in range(100)}
+    assert abs(summary.unattributed - sum(share[i] * flow[i] for i in range(100)) / 60) < 1e-9
+    assert abs(summary.predicted - sum(r.flow for r in got.values()) / 60) < 1e-9
+
+
+def test_thresholds_without_labels_keep_the_configured_fraction(spark):
+    rates_ = spark.createDataFrame([("a", 2.0, None), ("b", 4.0, 0.3), ("c", None, None)], "fixture string, rate double, on_frac double")
+    best = spark.createDataFrame([("a", 0.7, 0.9)], "fixture string, frac double, f1 double")
+    got = {r.fixture: tuple(r)[1:] for r in events.threshold_report(events.with_fallback(best, rates_, 0.5)).collect()}
+    assert got == {"a": (2.0, 1.4, 0.7, 0.9, ""), "b": (4.0, 1.2, 0.3, None, "no labelled events: configured fraction")}
+    frame = events.event_frame(spark.createDataFrame([("b", 5, 9), ("a", 5, 6), ("c", 1, 2)], "fixture string, start_idx int, end_idx int"))
+    assert [r.fixture for r in frame.collect()] == ["c", "a", "b"] and dict(frame.dtypes)["start_idx"] == "bigint" and frame.first().plateau is None
+
+
+def test_classes_and_order_in_latex(spark):
+    rows = [{"fixture": "x_1", "category": "p", "f1": 0.5, "n_labelled": 2, "sufficient_support": False}, {"fixture": "y", "category": "q"}]
+    text = metrics.latex_table(rows, "c", "l", ("p", "q"), [{"category": "q", "f1": 1.0, "n_labelled": 3}], ("y", "x_1"))
+    lines = text.splitlines()
+    assert lines.index(r"y & 0 & --- & --- & --- & --- \\") < lines.index(r"x\_1$^\dagger$ & 2 & --- & --- & 0.50 & --- \\") < lines.index(r"\textit{q} & 3 & --- & --- & 1.00 & --- \\")
+    codes = spark.createDataFrame([("Ad_S",), ("Kid_T",), ("Dish_W",), ("Kitch_r",)], "c string")
+    assert [r[0] for r in codes.select(rates.fixture_class(F.col("c"))).collect()] == ["shower", "toilet", "appliance", "faucet"]
+
+
 @pytest.mark.parametrize("n", [4, 10, 30, 42, 60])
 def test_partitions_do_not_leak(n):
     days = [date(2024, 1, 1) + timedelta(days=i) for i in range(n)]

@@ -128,6 +128,45 @@ def predict_windows(windows: DataFrame, weights: dict, config: ModelConfig, fixt
     return windows.select("start", "x").mapInPandas(score, "idx long, fixture string, flow double, activation double, unattributed double")
 
 
+def predict_trace(trace: DataFrame, weights: dict, config: ModelConfig, fixtures: list[str], length: int, stride: int, emit: str = "center", floor: float = 0.05, skip_idle: bool = True) -> DataFrame:
+    """idx, fixture, flow, activation, unattributed, covered for every sample of ``trace`` (idx, ts, flow, valid) and every fixture.
+
+    A sample's values come from the window whose own slice holds it. Windows that
+    never exceed ``floor`` in magnitude are not evaluated: their samples are
+    covered, with zero flow. Samples that no slice holds are zero and not covered.
+    Windows are tiled over the whole trace.
+    """
+    from .windows import make_windows, slice_bounds, tile_owner
+
+    n = trace.count()
+    low, high = slice_bounds(length, stride, emit)
+    made = make_windows(trace, length, stride)
+    idle = ~F.exists("x", lambda v: F.abs(v) > floor)
+    busy = made.filter(~idle) if skip_idle else made
+    found = predict_windows(busy, weights, config, fixtures, low, high)
+    owned = tile_owner(trace.select("idx"), n, length, stride, emit).select("idx", F.col("owner").isNotNull().alias("covered"))
+    every = owned.withColumn("fixture", F.explode(F.array(*map(F.lit, fixtures))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return every.join(found, ["idx", "fixture"], "left").select("idx", "fixture", zero("flow"), zero("activation"), zero("unattributed"), "covered")
+
+
+def prediction_summary(predictions: DataFrame, trace: DataFrame, period_s: float) -> DataFrame:
+    """samples, covered, predicted and unattributed volume, and the latter's share of both; ``unattributed`` is a share of the total flow."""
+    at = predictions.groupBy("idx").agg(F.sum("flow").alias("flow"), F.bool_or("covered").alias("covered"), F.max("unattributed").alias("share"))
+    rest = at.join(trace.select("idx", F.greatest("flow", F.lit(0.0)).alias("total")), "idx")
+    sums = rest.agg(
+        F.count("*").alias("samples"), F.count_if("covered").alias("covered"), (F.sum("flow") * period_s / 60).alias("predicted"), (F.sum(F.col("share") * F.col("total")) * period_s / 60).alias("unattributed")
+    )
+    both = F.col("predicted") + F.col("unattributed")
+    return sums.withColumn("unattributed_frac", F.when(both > 0, F.col("unattributed") / both).otherwise(F.lit(0.0)))
+
+
+def plain_rates(labels: DataFrame, floor: float = 0.05, least: float = 0.1) -> DataFrame:
+    """fixture, rate of a labelled trace without a diary: the median flow where it flows, ``least`` at least, or 1."""
+    flowing = F.when(F.col("flow") > floor, F.col("flow"))
+    return labels.groupBy("fixture").agg(F.coalesce(F.greatest(F.median(flowing), F.lit(least)), F.lit(1.0)).alias("rate"))
+
+
 def loss(pred_flow, true_flow, activation, unattributed, total, valid, floor=0.05, beta=0.25, pos_weight=4.0, w_act=0.2, w_un=0.05) -> float:
     """Smooth absolute error of active samples, weighted activation entropy and a charge on the unattributed share."""
     mask = (total > floor) & valid

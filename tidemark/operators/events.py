@@ -91,3 +91,24 @@ def search_thresholds(predictions: DataFrame, labelled: DataFrame, rates: DataFr
     table = table.withColumn("f1", 2 * F.col("tp") / (F.col("n_pred") + F.col("n_labelled")))
     best = table.withColumn("st_n", F.row_number().over(Window.partitionBy("fixture").orderBy(F.desc("f1"), "frac"))).filter("st_n = 1").drop("st_n")
     return table, best
+
+
+def with_fallback(best: DataFrame, rates: DataFrame, configured: float) -> DataFrame:
+    """fixture, rate, on, frac, f1, note of every fixture with a rate; those without labelled events keep their configured fraction."""
+    own = F.coalesce(F.col("on_frac"), F.lit(configured)) if "on_frac" in rates.columns else F.lit(configured)
+    joined = rates.filter("rate IS NOT NULL").select("fixture", "rate", own.alias("own")).join(best.select("fixture", "frac", "f1"), "fixture", "left")
+    note = F.when(F.col("frac").isNull(), "no labelled events: configured fraction").otherwise("")
+    frac = F.coalesce("frac", "own")
+    return joined.select("fixture", "rate", (F.col("rate") * frac).alias("on"), frac.alias("frac"), "f1", note.alias("note"))
+
+
+def threshold_report(fitted: DataFrame) -> DataFrame:
+    """The fitted thresholds as shown: rounded to three places."""
+    return fitted.select("fixture", *(F.round(c, 3).alias(c) for c in ("rate", "on", "frac", "f1")), "note")
+
+
+def event_frame(events: DataFrame) -> DataFrame:
+    """Events with the columns and types of an event table, by start, then fixture; columns that are missing are null."""
+    kinds = {"fixture": "string", "start_idx": "long", "end_idx": "long", "duration_s": "double", "mean": "double", "peak": "double", "plateau": "double", "volume": "double"}
+    columns = [(F.col(c) if c in events.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    return events.select(*columns).orderBy("start_idx", "fixture")

@@ -127,15 +127,23 @@ def escape_latex(text: str) -> str:
     return str(text).translate(_LATEX)
 
 
-def latex_table(rows: list[dict], caption: str, label: str, category_order: tuple[str, ...] = ()) -> str:
-    """A table of per-fixture scores by category; missing values are dashes, thin support has a dagger."""
+def latex_table(rows: list[dict], caption: str, label: str, category_order: tuple[str, ...] = (), classes: list[dict] | None = None, order: tuple[str, ...] | None = None) -> str:
+    """A table of per-fixture scores by category, or by fixture code in ``order``, with a block of ``classes`` below; missing values are dashes, thin support has a dagger."""
     rank = {c: i for i, c in enumerate(category_order)}
-    ordered = sorted(rows, key=lambda r: (rank.get(r.get("category"), len(rank)), str(r.get("label") or r["fixture"])))
+    named = lambda r: str(r.get("label") or r["fixture"])
+    if order is None:
+        ordered = sorted(rows, key=lambda r: (rank.get(r.get("category"), len(rank)), named(r)))
+    else:
+        place = {c: i for i, c in enumerate(order)}
+        ordered = sorted(rows, key=lambda r: (place.get(r["fixture"], len(place)), named(r)))
     number = lambda x: "---" if x is None else f"{x:.2f}"
-    body = []
-    for r in ordered:
-        mark = "" if r.get("sufficient_support", True) else r"$^\dagger$"
-        name = escape_latex(r.get("label") or r["fixture"]) + mark
-        body.append(" & ".join([name, str(r.get("n_labelled") or 0), number(r.get("precision")), number(r.get("recall")), number(r.get("f1")), number(r.get("volume_mae"))]) + r" \\")
+
+    def line(name: str, r: dict) -> str:
+        return " & ".join([name, str(r.get("n_labelled") or 0), number(r.get("precision")), number(r.get("recall")), number(r.get("f1")), number(r.get("volume_mae"))]) + r" \\"
+
+    body = [line(escape_latex(named(r)) + ("" if r.get("sufficient_support", True) else r"$^\dagger$"), r) for r in ordered]
+    if classes:
+        body.append(r"\midrule")
+        body += [line(rf"\textit{{{escape_latex(r['category'])}}}", r) for r in sorted(classes, key=lambda r: (rank.get(r["category"], len(rank)), r["category"]))]
     head = [r"\begin{table}", r"\centering", rf"\caption{{{escape_latex(caption)}}}", rf"\label{{{label}}}", r"\begin{tabular}{lrrrrr}", r"\toprule", r"Fixture & $n$ & P & R & F1 & Vol. MAE \\", r"\midrule"]
     return "\n".join([*head, *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])

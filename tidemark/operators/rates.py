@@ -64,3 +64,14 @@ def thresholds(rates: DataFrame, fixtures: DataFrame, on_frac: float, off_frac:
         F.bround(F.col("min_s") / period_s, 0).cast("int").alias("min_samples"),
         F.bround(F.col("bridge_s") / period_s, 0).cast("int").alias("max_gap"),
     )
+
+
+def rate_report(fitted: DataFrame) -> DataFrame:
+    """The fitted rates as shown: rounded to three places."""
+    return fitted.select("fixture", F.round("rate", 3).alias("rate"), "n_isolated", F.round("iqr", 3).alias("iqr"), "note")
+
+
+def fixture_class(code):
+    """Column: the class that a fixture code tells by its suffix or name."""
+    appliance = code.isin("Dish_W", "Wash_M")
+    return F.when(code.endswith("_S"), "shower").when(code.endswith("_T"), "toilet").when(appliance, "appliance").otherwise("faucet")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.signal import day_of
@@ -42,8 +42,13 @@ def event_counts(windows: DataFrame, labels: DataFrame, length: int, stride: int
     return spread.join(windows.select("start"), "start", "left_semi").select("fixture", "start").distinct().groupBy("fixture").agg(F.count("*").alias("n_windows"))
 
 
-def _sizes(n: int, fraction: float, least: int, fallback: int) -> int:
-    return max(round(n * fraction), least) if n >= 2 * least + 1 else n // fallback
+def part_sizes(n: int, test_fraction: float, val_fraction: float, min_test: int, min_val: int) -> tuple[int, int]:
+    """Numbers of test and validation days of ``n``: fractions (half to even) with minima, or quarter and fifth where these would leave no day to train on."""
+    test, val = max(round(n * test_fraction), min_test), max(round(n * val_fraction), min_val)
+    if test + val < n:
+        return test, val
+    test, val = max(n // 4, 1), max(n // 5, 1)
+    return test, val if test + val < n else max(n - test - 1, 0)
 
 
 def partition_days(days: list, test_fraction: float, val_fraction: float, min_test: int, min_val: int, seed: int, stratify: bool = True) -> dict[str, list]:
@@ -52,7 +57,7 @@ def partition_days(days: list, test_fraction: float, val_fraction: float, min_te
     if not days:
         raise ValueError("there are no labelled days")
     rng = np.random.default_rng(seed)
-    n_test, n_val = _sizes(len(days), test_fraction, min_test, 4), _sizes(len(days), val_fraction, min_val, 5)
+    n_test, n_val = part_sizes(len(days), test_fraction, val_fraction, min_test, min_val)
 
     def take(pool: list, n: int) -> list:
         if not stratify:
@@ -60,17 +65,65 @@ def partition_days(days: list, test_fraction: float, val_fraction: float, min_te
         weekend = [d for d in pool if d.weekday() >= 5]
         week = [d for d in pool if d.weekday() < 5]
         k = min(round(n * len(weekend) / max(len(pool), 1)), len(weekend))
-        k = max(k, n - len(week))
+        k = min(max(k, n - len(week)), len(weekend))
         pick = lambda part, m: [part[i] for i in rng.permutation(len(part))[:m]]
         return sorted(pick(weekend, k) + pick(week, n - k))
 
     test = take(days, n_test)
     rest = [d for d in days if d not in set(test)]
-    val = take(rest, min(n_val, len(rest)))
+    val = take(rest, n_val)
     held = {*test, *val}
     return {"train": [d for d in days if d not in held], "val": val, "test": test}
 
 
+def split_days(days: list, test_fraction: float = 0.2, val_fraction: float = 0.15, seed: int = 0) -> dict[str, list]:
+    """The plain split of a trace without a configuration: truncated fractions, one day at least, each day type rounded by itself."""
+    days = sorted(set(days))
+    rng = np.random.default_rng(seed)
+    kinds = [[d for d in days if d.weekday() < 5], [d for d in days if d.weekday() >= 5]]
+    share = len(kinds[1]) / max(len(days), 1)
+    held: dict[str, set] = {}
+    for part, fraction in (("test", test_fraction), ("val", val_fraction)):
+        n = max(int(len(days) * fraction), 1)
+        held[part] = set()
+        for kind, want in zip(kinds, (round(n * (1 - share)), round(n * share))):
+            pool = [d for d in kind if d not in held["test"]]
+            held[part] |= {pool[i] for i in rng.permutation(len(pool))[:want]}
+    return {"train": [d for d in days if d not in held["test"] | held["val"]], "val": sorted(held["val"]), "test": sorted(held["test"])}
+
+
+def partition_table(spark: SparkSession, parts: dict[str, list]) -> DataFrame:
+    """day, part."""
+    return spark.createDataFrame([(day, part) for part, days in parts.items() for day in days], "day date, part string")
+
+
+def partition_summary(table: DataFrame) -> DataFrame:
+    """part, n_days, n_weekend, first, last."""
+    return table.groupBy("part").agg(
+        F.count("*").alias("n_days"), F.count_if(F.weekday("day") >= 5).alias("n_weekend"), F.min("day").alias("first"), F.max("day").alias("last")
+    )
+
+
+def build_partitions(samples: DataFrame, table: DataFrame, length: int, stride: int, active_floor: float | None = None, arrays: bool = True) -> DataFrame:
+    """Windows with ``part``: each lies in one day, and with it in one part, so that no sample serves two parts."""
+    made = make_windows(samples, length, stride, table.select("day").distinct(), active_floor, arrays)
+    return made.join(table.select(F.col("day").alias("first_day"), "part"), "first_day")
+
+
+def window_summary(windows: DataFrame) -> DataFrame:
+    """n_windows, n_active, first, last, n_days of windows (``any_active`` where they have it)."""
+    active = F.count_if("any_active") if "any_active" in windows.columns else F.lit(None).cast("long")
+    return windows.agg(
+        F.count("*").alias("n_windows"), active.alias("n_active"), F.min("start").alias("first"), F.max("start").alias("last"), F.count_distinct("first_day").alias("n_days")
+    )
+
+
+def thin_support(counts: DataFrame, fixtures: DataFrame, least: int = 3) -> DataFrame:
+    """fixture, n_windows of the fixtures that appear in fewer than ``least`` held-out windows; their scores mean little."""
+    found = fixtures.select("fixture").join(counts, "fixture", "left").select("fixture", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+    return found.filter(F.col("n_windows") < least)
+
+
 def slice_bounds(length: int, stride: int, emit: str) -> tuple[int, int]:
     """First and last (exclusive) position of a window's own slice."""
     if stride > length:
@@ -87,12 +140,3 @@ def tile_owner(samples: DataFrame, n: int, length: int, stride: int, emit: str =
     owner = F.floor((F.col("idx") - low) / stride) * stride
     fits = (owner >= 0) & (owner + length <= n)
     return samples.withColumn("owner", F.when(fits, owner)).withColumn("position", F.when(fits, F.col("idx") - owner))
-
-
-def chunk_edges(n: int, chunk: int, length: int, stride: int) -> list[int]:
-    """Starts of windows when the phase is anchored anew every ``chunk`` samples (parity option)."""
-    return [s for c in range(0, n, chunk) for s in range(c, min(c + chunk, n) - length + 1, stride)]
-
-
-def rank_windows(windows: DataFrame) -> DataFrame:
-    return windows.withColumn("number", F.row_number().over(Window.partitionBy("first_day").orderBy("start")))

@@ -134,7 +134,7 @@ z AS (SELECT u.fixture AS "true", v.fixture AS predicted, coalesce(y.n, 0) AS n
     "window_event_counts": sql(BASE, A, PRED, WIN, "SELECT p.fixture, count(DISTINCT wi.start) AS n_windows FROM p JOIN wi ON p.idx >= wi.start AND p.idx < wi.start + 12 WHERE p.flow > 2500 GROUP BY 1"),
     "tile_owner": sql(BASE, "n AS (SELECT count(*) AS n FROM tot), x AS (SELECT idx, CAST(floor((idx - 22) / 15) AS BIGINT) * 15 AS o FROM tot)", "SELECT idx, CASE WHEN o >= 0 AND o + 60 <= n THEN o ELSE -1 END AS owner, CASE WHEN o >= 0 AND o + 60 <= n THEN idx - o ELSE -1 END AS position FROM x CROSS JOIN n"),
     "partition_sizes": sql(BASE, "x AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM s)", "SELECT CASE WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, CAST(min(day) AS VARCHAR) AS first FROM x GROUP BY 1"),
-    "reconciliation": sql(BASE, A, PRED, "x AS (SELECT sum(p.flow) / any_value(t.flow) AS r FROM p JOIN tot t USING (idx) WHERE t.flow > 2500 GROUP BY idx)", "SELECT count(*) AS n, min(r) AS min, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.75) AS p75, max(r) AS max FROM x"),
+    "reconciliation": sql(BASE, A, PRED, "x AS (SELECT sum(p.flow) / any_value(t.flow) AS r FROM p JOIN tot t USING (idx) WHERE t.flow > 2500 GROUP BY idx)", "SELECT count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, min(r) AS min, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.75) AS p75, max(r) AS max FROM x"),
     "rate_allocation": sql(BASE, "SELECT 5::BIGINT AS n, count(*) AS samples, count(*) AS whole FROM tot"),
     "nearest_match": sql(ENT, "SELECT * FROM ne"),
     "match_report": sql(ENT, "SELECT fixture, count(*) AS n_rows, count(offset_s) AS n_matched, count(offset_s) / count(*) AS match_rate, median(offset_s) AS median_offset FROM di LEFT JOIN ne USING (entry) GROUP BY 1"),
@@ -148,8 +148,28 @@ z AS (SELECT fixture, day, i, flow AS y FROM x WHERE i = 0 UNION ALL
       SELECT x.fixture, x.day, x.i, z.y + 0.5::DOUBLE * (x.flow - z.y) FROM z JOIN x ON x.fixture = z.fixture AND x.day = z.day AND x.i = z.i + 1)"""]) + "\nSELECT fixture, day, arg_max(y, i) AS y FROM z GROUP BY 1, 2",
 }
 
+PARTS = """
+dp AS (SELECT day, CASE WHEN day(day) <= 18 THEN 'train' WHEN day(day) <= 22 THEN 'val' WHEN day(day) <= 26 THEN 'test' END AS part FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM s))"""
+ORACLE |= {
+    "part_sizes": """
+WITH x AS (SELECT CAST(n AS INTEGER) AS n, fraction, fraction - 0.05::DOUBLE AS vf FROM (SELECT unnest(range(1, 61)) AS n) CROSS JOIN (VALUES (0.2::DOUBLE), (0.35)) AS t(fraction)),
+y AS (SELECT *, greatest(round_even(n * fraction, 0), 3) AS t, greatest(round_even(n * vf, 0), 2) AS v FROM x),
+z AS (SELECT *, greatest(n // 4, 1) AS t2, greatest(n // 5, 1) AS v2 FROM y)
+SELECT n, fraction, CAST(CASE WHEN t + v < n THEN t ELSE t2 END AS INTEGER) AS n_test, CAST(CASE WHEN t + v < n THEN v WHEN t2 + v2 < n THEN v2 ELSE greatest(n - t2 - 1, 0) END AS INTEGER) AS n_val FROM z""",
+    "partition_windows": sql(BASE, WIN, PARTS, "SELECT dp.part, wi.first_day, count(*) AS n, min(wi.start) AS first_start, max(wi.start) AS last_start FROM wi JOIN dp ON dp.day = wi.first_day WHERE wi.first_day = wi.last_day AND dp.part IS NOT NULL GROUP BY 1, 2"),
+    "partition_table": sql(BASE, PARTS, "SELECT part, count(*) AS n_days, count(*) FILTER (WHERE isodow(day) >= 6) AS n_weekend, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last FROM dp WHERE part IS NOT NULL GROUP BY 1"),
+    "window_totals": sql(BASE, WIN, "SELECT count(*) AS n_windows, count(*) FILTER (WHERE any_active) AS n_active, min(start) AS first, max(start) AS last, count(DISTINCT first_day) AS n_days FROM wi WHERE any_active"),
+    "window_thin_support": f"SELECT f.fixture, coalesce(x.n_windows, 0)::BIGINT AS n_windows FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS f(fixture) LEFT JOIN ({ORACLE['window_event_counts']}) x USING (fixture) WHERE coalesce(x.n_windows, 0) < 1000",
+    "threshold_report": search("""SELECT * FROM (WITH be AS (SELECT fixture, frac, f1 FROM ta WHERE fixture <> 'view' QUALIFY row_number() OVER (PARTITION BY fixture ORDER BY f1 DESC, frac) = 1)
+SELECT f.fixture, round(f.rate, 3) AS rate, round(f.rate * coalesce(be.frac, 0.5), 3) AS "on", round(coalesce(be.frac, 0.5), 3) AS frac, round(be.f1, 3) AS f1,
+       CASE WHEN be.frac IS NULL THEN 'no labelled events: configured fraction' ELSE '' END AS note FROM f LEFT JOIN be USING (fixture))"""),
+    "rate_report": f"SELECT fixture, round(rate, 3) AS rate, n_isolated, round(iqr, 3) AS iqr, note FROM ({ORACLE['fit_rates']})",
+    "plain_rates": sql(BASE, "SELECT fixture, coalesce(greatest(median(flow) FILTER (WHERE flow > 2500), 0.1::DOUBLE), 1.0::DOUBLE) AS rate FROM s GROUP BY 1"),
+}
+
 #: Queries whose dates are shown as text, with the column.
 DATED = {
+    "partition_windows": "first_day",
     "regularise_users": "day",
     "tz_shift_days": "day",
     "local_days": "day",

@@ -346,10 +346,71 @@ def partition_days(spark, d):
     return spark.createDataFrame([(x, part) for part, xs in parts.items() for x in xs], "day date, part string")
 
 
+@query
+def part_sizes(spark, d):
+    """Sizes of the parts of 1 to 60 days, for two settings."""
+    rows = [(n, f, *windows.part_sizes(n, f, f - 0.05, 3, 2)) for n in range(1, 61) for f in (0.2, 0.35)]
+    return spark.createDataFrame(rows, "n int, fraction double, n_test int, n_val int")
+
+
+def parts_by_date(days: DataFrame) -> DataFrame:
+    part = F.when(F.dayofmonth("day") <= 18, "train").when(F.dayofmonth("day") <= 22, "val").when(F.dayofmonth("day") <= 26, "test")
+    return days.select("day", part.alias("part")).filter("part IS NOT NULL")
+
+
+@query
+def partition_windows(spark, d):
+    rows = ad.total(ad.samples(spark, d))
+    made = windows.build_partitions(rows, parts_by_date(trace.local_days(rows)), 12, 3, arrays=False)
+    return made.groupBy("part", "first_day").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("start").alias("last_start"))
+
+
+@query
+def partition_table(spark, d):
+    return windows.partition_summary(parts_by_date(trace.local_days(ad.samples(spark, d)))).withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
+
+
+@query
+def window_totals(spark, d):
+    rows = ad.total(ad.samples(spark, d)).withColumn("label", F.col("flow"))
+    return windows.window_summary(windows.make_windows(rows, 12, 3, None, 30000.0, arrays=False))
+
+
+@query
+def window_thin_support(spark, d):
+    rows = ad.samples(spark, d)
+    made = windows.make_windows(ad.total(rows), 12, 3, arrays=False)
+    counts = windows.event_counts(made, ad.predicted(rows), 12, 3, 2500.0)
+    return windows.thin_support(counts, rates.fixture_table(spark, ad.CONFIG), 1000)
+
+
+@query
+def threshold_report(spark, d):
+    """Fitted thresholds, one fixture without labelled events."""
+    rows = ad.samples(spark, d)
+    fixtures = rates.fixture_table(spark, ad.CONFIG)
+    truth = ident(ad.events(rows, ad.ON_B, ad.OFF_B)).filter("fixture <> 'view'")
+    best = ev.search_thresholds(rows, truth, fixtures, 0.5, 2, 2, (0.5, 0.75, 1.0, 1.25), 0.6)[1]
+    return ev.threshold_report(ev.with_fallback(best, fixtures, 0.5))
+
+
+@query
+def rate_report(spark, d):
+    rows = ad.samples(spark, d)
+    fixtures = rates.fixture_table(spark, ad.CONFIG)
+    return rates.rate_report(rates.fit_rates(ident(ad.events(rows)), trace.deadbanded(ad.total(rows), 2500.0), fixtures, 3))
+
+
+@query
+def plain_rates(spark, d):
+    return allocate.plain_rates(ad.samples(spark, d), 2500.0)
+
+
 @query
 def reconciliation(spark, d):
     rows = ad.samples(spark, d)
-    return allocate.reconcile(ad.predicted(rows), ad.total(rows), 2500.0).select("n", "min", "p25", "p50", "p75", "max")
+    found = allocate.reconcile(ad.predicted(rows), ad.total(rows), 2500.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 @query

@@ -67,6 +67,11 @@ def read_label_matrix(spark: SparkSession, paths: list[str], trace: DataFrame, c
     return aligned.unpivot(["idx", "ts"], config.codes, "fixture", "flow")
 
 
+def outside_rows(matrix: DataFrame, trace: DataFrame) -> int:
+    """How many stamped rows (``ts``) of a label matrix lie on no sample of the trace."""
+    return matrix.filter("ts IS NOT NULL").join(trace.select("ts"), "ts", "left_anti").count()
+
+
 def diary_times(diary: DataFrame, which: str, date_column: str = "date", fmt: str | None = None) -> Column:
     """Start or end stamp: a full stamp column, else the time column dated by the entry's date, else null."""
     if f"{which}_datetime" in diary.columns:
@@ -95,7 +100,8 @@ def resolve_diary(diary: DataFrame, config: Config, fmt: str | None = None) -> D
     timed = named.withColumn("start", diary_times(diary, "start", fmt=fmt)).withColumn("end", diary_times(diary, "end", fmt=fmt)).filter("start IS NOT NULL")
     known = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
     timed = timed.withColumn("duration_known", known).withColumn("start_idx", epoch_seconds("start")).withColumn("duration_s", F.when(known, epoch_seconds("end") - epoch_seconds("start")))
-    return timed.withColumn("entry", F.monotonically_increasing_id()).select("entry", "fixture", "page", "symbol", "start", "end", "duration_known", "excluded", "start_idx", "duration_s")
+    order = Window.orderBy("start", "fixture", "page", "symbol", "end")  # a hand-kept diary is small
+    return timed.withColumn("entry", (F.row_number().over(order) - 1).cast("long")).orderBy("entry").select("entry", "fixture", "page", "symbol", "start", "end", "duration_known", "excluded", "start_idx", "duration_s")
 
 
 def read_diary(spark: SparkSession, path: str, config: Config) -> DataFrame:
