@@ -83,15 +83,15 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str,
     """One-to-one greedy matching by descending score under the total order (score, left, right).
 
     Pairs that are best for both of their sides are kept, their sides leave,
-    and the rest is matched again; equal to taking pairs one by one. The pairs
-    and what each round leaves are tables in the shared folder, so plans stay
+    and the rest is matched again; equal to taking pairs one by one. The ranked pairs
+    of each round are tables in the shared folder, so plans stay
     short; most inputs need a round or two. Rounds go on until no pair is left;
     after every ``max_rounds`` of them the pairs found so far become one table.
     """
     order = [F.desc(score), *left, *right]
     a = F.row_number().over(Window.partitionBy(*left).orderBy(*order))
     b = F.row_number().over(Window.partitionBy(*right).orderBy(*order))
-    kept, rest = [], staged(pairs, "pairs")
+    kept, rest = [], pairs
     while True:
         ranked = staged(rest.withColumn("mb_a", a).withColumn("mb_b", b), "ranked-pairs")
         best = ranked.filter("mb_a = 1 AND mb_b = 1").drop("mb_a", "mb_b")
