@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing as M
 
@@ -32,7 +34,7 @@ def test_totals_meet_targets(spark):
     assert np.mean([x.mix_domain == truth[x.doc_id] for x in mixed]) > 0.99
 
 
-def descent(n, p, weights, scale, domains, limit=M.ROUNDS):
+def descent(n, p, weights, scale, domains, limit=10_000):
     """The same descent in NumPy over the same posteriors."""
     held = (n[:, None] * p).sum(0)
     w = np.where(held > 0, 1 / np.maximum(held, 1e-300), 0)
@@ -66,3 +68,21 @@ def test_edges(spark):
         assert all(r.mix_rate == 1.0 for r in rows if not (r.text or "").split())
         assert M.apply_copies(mixed, edge(spark).columns).columns == edge(spark).columns
     assert M.mix(empty(spark), labels, {"clean": 1.0}).collect() == []
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = spark.createDataFrame([(100, [0.6, 0.4])] * 5, "mix_n long, mix_p array<double>")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        rounds = M.fit_rates(rows, ["a", "b"], {"a": 0.1, "b": 0.9})
+    rate = rows.select(M.rate(rounds, 2).alias("r")).first().r
+    # the nearest total to (0.1, 0.9), relative to what the domains hold
+    assert len(rounds) >= 2 * M.STALL and 0.2 < rate < 2.5
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["mix_n", "MIX_P", "mix_copy", "mix_state", "own_0"]
+    rows = spark.createDataFrame([(i, "some words here") for i in range(20)], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    labels = label_table(spark, [(1, 1, 0), (2, 0, 0)])
+    got = M.mixed_rows(rows, labels, {"clean": 0.5, "junk": 0.5})
+    assert got.columns == rows.columns and all(r[c] == c for r in got.collect() for c in names)
+    assert M.mix(rows, labels, {"clean": 1.0}).count() == 20

@@ -54,6 +54,9 @@ def test_edges(spark):
     none = X.score(edge(spark), label_table(spark)).collect()
     assert {r.score for r in none} == {0.0}
     assert X.score(empty(spark), labels).collect() == []
+    named = edge(spark).withColumnsRenamed({"n": "tox_n", "key": "tox_s", "words": "TOX_score"})
+    kept = X.drop_toxic(named, labels)
+    assert kept.columns == named.columns and 0 < kept.count() <= edge(spark).count()
     kept = X.drop_toxic(edge(spark), label_table(spark))
     assert kept.columns == edge(spark).columns and kept.count() == edge(spark).count()
 

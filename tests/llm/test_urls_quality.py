@@ -20,6 +20,9 @@ def test_as_of_evaluation(spark):
     captures = spark.createDataFrame([(i, u, d, "p", "k") for i, (u, d) in enumerate(rows)], "id int, url string, fetched_at date, pattern string, category string")
     found = {r.id: (r.url_entries, r.url_pattern, r.url_blocked) for r in U.evaluate(captures, entries).collect()}
     assert found == {0: (0, None, False), 1: (1, "bad.org", True), 2: (2, "a.bad.org", True), 3: (0, None, False), 4: (1, "bad.org", True), 5: (0, None, False), 6: (0, None, False), 7: (0, None, False), 8: (0, None, False), 9: (0, None, False), 10: (1, "bad.org", True)}
+    clash = captures.withColumns({c: F.lit("x") for c in ("url_entries", "URL_HOST", "url_at", "url_blocked")})
+    again = U.evaluate(clash, entries)
+    assert {r.id: (r.url_entries, r.url_pattern, r.url_blocked) for r in again.collect()} == found and {r.url_at for r in again.collect()} == {"x"}
     assert U.evaluate(captures.limit(0), entries).collect() == []
     assert U.evaluate(captures, entries.limit(0)).filter("url_blocked").count() == 0
 

@@ -19,23 +19,28 @@ form holds. Without labelled rows there is one domain, ``all``; unless the
 weights name it, every rate is 1. Domains that labels name but documents never show
 are left out of the fit, and the other targets share their weight. Repeated
 rows get rates of their own. Empty tables give no rows. Extra columns pass
-through; the added ones start with ``mix_``.
+through; the added ones start with ``mix_``, and :func:`mix` puts them in the
+place of input columns that start so (:func:`mixed_rows` keeps those). The
+descent ends at the tolerance, or where ``STALL`` rounds bring less than a
+thousandth of the squared error: targets may be out of reach, and what is left
+is told in a warning.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged, words_of
+from .common import discard, shielded, staged, words_of
 
 LABELLED_DOCS = 4000
 BUCKETS = 32_768
 SMOOTHING = 0.5
 TEMPER = 0.5  # words of a text depend on each other: their evidence counts as the power n ** -TEMPER of it
-ROUNDS = 80
+STALL = 16  # rounds over which the descent must gain something
 FOLD = 8  # rounds between two tables of the documents' states
 TOLERANCE = 1e-4  # of all words
 
@@ -118,7 +123,7 @@ def rate(rounds: list[list[float]], domains: int) -> Column:
     return F.when(F.col("mix_n") > 0, folded(rounds, domains)["r"]).otherwise(F.lit(1.0))
 
 
-def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float], scale: float = 1.0, limit: int = ROUNDS) -> list[list[float]]:
+def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float], scale: float = 1.0) -> list[list[float]]:
     """The rounds of the descent. ``known`` has mix_n and mix_p; targets are ``scale`` times its words, dealt by ``weights``."""
     k = len(domains)
     p = [F.col("mix_p")[i] for i in range(k)]
@@ -139,10 +144,15 @@ def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float], s
     fresh: list[list[float]] = []
     old = None
     now, t = list(held), 1.0
-    for _ in range(limit):
+    squares: list[float] = []
+    while True:
         error = [a - b for a, b in zip(now, targets)]
         if max(map(abs, error)) <= TOLERANCE * total:
             break
+        squares.append(sum(e * e for e in error))
+        if len(squares) > 2 * STALL and min(squares[-STALL:]) > 0.999 * min(squares[-2 * STALL : -STALL]):
+            warnings.warn(f"the mixture misses its targets by up to {max(map(abs, error)) / total:.2%} of all words", stacklevel=2)
+            break
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         this = [(t - 1) / after, *(step * a * b for a, b in zip(w, error))]
         t = after
@@ -162,6 +172,7 @@ def fit_rates(known: DataFrame, domains: list[str], weights: dict[str, float], s
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float = 1.0) -> DataFrame:
     """``docs`` with mix_n, mix_p, mix_domain (the likeliest), mix_rate and mix_copies."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("mix_")))
     found, domains = posteriors(docs, labels)
     known = staged(found, "posteriors")
     narrow = known.select("mix_n", "mix_p")
@@ -176,3 +187,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: fl
 def apply_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as its copies say, with ``columns`` alone."""
     return mixed.filter("mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy")).select(*columns)
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float = 1.0) -> DataFrame:
+    """``docs``, each row as often as its fitted rate says; all columns stay, whatever their names."""
+    docs, given = shielded(docs, "mix_")
+    return given(apply_copies(mix(docs, labels, weights, scale), docs.columns))

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import arrow_rows, discard, staged
+from .common import arrow_rows, discard, shielded, staged
 
 TOP, LOW = 5, 4  # bytes of an expression, and of its shorter form
 DISCOUNT = 0.75
@@ -380,7 +380,7 @@ def held_out():
 
 
 def with_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with tox_score."""
+    """``docs`` (without columns named tox_...) with tox_score."""
     scorer = fit(docs.select("doc_id", "text"), labels)
     if scorer.model is None:
         return docs.withColumn("tox_score", F.lit(0.0))
@@ -394,5 +394,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; all columns stay."""
-    return with_score(docs, labels).filter(F.col("tox_score") < threshold).select(*docs.columns)
+    """``docs`` without the rows whose score reaches ``threshold``; all columns stay, whatever their names."""
+    docs, given = shielded(docs, "tox_")
+    return given(with_score(docs, labels).filter(F.col("tox_score") < threshold))

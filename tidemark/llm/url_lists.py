@@ -12,7 +12,8 @@ Captures without a readable host or without a time match nothing and are kept.
 Entries with a null pattern, flag or time are void. Of several entries at one
 instant, taking off wins. Repeated entries change nothing; repeated captures
 each get their verdict; empty lists block nothing. Extra columns of captures
-pass through under their own names; the added ones start with ``url_``.
+pass through under their own names; the added ones start with ``url_`` and take
+the place of input columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
@@ -36,8 +39,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """``captures`` with url_host, url_entries (active ones), url_categories, url_pattern (the longest) and url_blocked."""
-    captures = captures.withColumn("url_host", host_of(F.col(url))).withColumn("url_at", F.col(fetched))
-    visits = captures.filter("url_host IS NOT NULL AND url_at IS NOT NULL").groupBy("url_host", "url_at").agg(F.lit(1).alias("one"))
+    url_c, fetched_c, (at,) = F.col(url), F.col(fetched), fresh(captures, "url_at")
+    added = ["url_host", "url_entries", "url_categories", "url_pattern", "url_blocked"]
+    kept = [c for c in captures.columns if c.lower() not in added]
+    captures = captures.select(*kept, host_of(url_c).alias("url_host"), fetched_c.alias(at))
+    visits = captures.select("url_host", F.col(at).alias("url_at")).filter("url_host IS NOT NULL AND url_at IS NOT NULL").distinct()
     parts = F.split("url_host", r"\.")
     keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     keyed = visits.select("url_host", "url_at", F.explode(keys).alias("pattern"))
@@ -47,8 +53,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
         F.count("*").alias("url_entries"), F.count_distinct("category").alias("url_categories"), F.max_by("pattern", F.length("pattern")).alias("url_pattern")
     )
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
-    kept = [c for c in captures.columns if c not in ("url_host", "url_at")]
-    joined = captures.join(found, ["url_host", "url_at"], "left")
+    joined = captures.join(found.withColumnRenamed("url_at", at), ["url_host", at], "left")
     return joined.select(*kept, "url_host", zero("url_entries"), zero("url_categories"), "url_pattern", F.col("url_entries").isNotNull().alias("url_blocked"))
 
 
