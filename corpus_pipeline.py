@@ -38,7 +38,7 @@ def remove_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says."""
-    return mixing.apply_copies(mixing.mix(docs, load(spark, sf_dir, "labels"), WEIGHTS, SCALE), docs.columns)
+    return mixing.mixed_rows(docs, load(spark, sf_dir, "labels"), WEIGHTS, SCALE)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
