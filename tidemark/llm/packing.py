@@ -2,9 +2,12 @@
 
 Documents are encoded once and kept as packed ids. The document frequencies of
 all token ids (bounded by the vocabulary) are counted over the whole corpus. A
-document's lexical key is its best BM25 terms, the best one first; documents are
-dealt by range of that key, ties by a hash of their place, so documents about
-one thing come to one shard and a key that very many share is cut like any
+document's sketch is the direction of its id counts (square roots) under
+``DIMS`` random axes; the corpus's moments of the sketches, a matrix of fixed
+size, give their leading directions, and the sides of these on which a document
+lies, the first direction's highest, are its lexical key. Documents are
+dealt by range of that key, ties by a hash of their place, so documents of like
+words come to one shard and a key that very many share is cut like any
 other range. A task cuts its range into shards of at most ``SHARD_TOKENS``
 tokens and ``SHARD_DOCS`` documents (a longer document is a shard's last one)
 and holds one shard at a time. Each shard builds an inverted index of all its
@@ -35,7 +38,8 @@ from .tokens import encoder
 WINDOW = 2048
 SHARD_DOCS = 2048
 SHARD_TOKENS = 2_000_000
-KEY_TERMS = 3
+DIMS = 32
+SEED = 11
 K1, B = 1.2, 0.75
 
 
@@ -43,47 +47,73 @@ def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+def axes(size: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((size, DIMS), np.float32)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Rows (kind 0): doc_id, packed ids, count, tie; rows (kind 1): a task's document frequencies by id."""
+    """Rows (kind 0): doc_id, packed ids, count, tie, sketch; rows (kind 1): a task's document frequencies by id and moments of the sketches."""
     size = max(encoder(tokenizer_path, "word").size, end_id + 1)
     kind_of = id_type(size)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, "word")
-        seen = np.zeros(size, np.int64)
-        names = ["kind", "doc_id", "ids", "n_tokens", "tie"]
+        enc, along = encoder(tokenizer_path, "word"), axes(size)
+        seen, moments = np.zeros(size, np.int64), np.zeros((DIMS + 1, DIMS + 1))
+        names = ["kind", "doc_id", "ids", "n_tokens", "tie", "sketch"]
         for batch in batches:
-            packed, sizes = [], []
+            packed, sizes, sketches = [], [], []
             for found in enc.encode_many(batch.column(1).to_pylist()):
                 ids = np.append(found, end_id)
-                seen[np.unique(ids)] += 1
+                term, count = np.unique(ids, return_counts=True)
+                seen[term] += 1
+                sketches.append(np.sqrt(count, dtype=np.float32) @ along[term] / np.float32(np.sqrt(len(ids))))
                 packed.append(ids.astype(kind_of).tobytes())
                 sizes.append(len(ids))
-            kind = pa.array(np.zeros(len(sizes), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2)], names)
-        none = pa.array([None], pa.int64())
-        columns = [pa.array([1], pa.int32()), none, pa.array([seen.tobytes()], pa.binary()), pa.array([0], pa.int64()), none]
-        yield pa.RecordBatch.from_arrays(columns, names)
+            one = np.ones((len(sketches), DIMS + 1))
+            one[:, 1:] = sketches
+            moments += one.T @ one
+            columns = [pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sketches], pa.binary())], names)
+        none, blob = pa.array([None], pa.int64()), lambda x: pa.array([x.tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, blob(seen), pa.array([0], pa.int64()), none, blob(moments)], names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
-    return docs.mapInArrow(encode, "kind int, doc_id long, ids binary, n_tokens long, tie long")
+    return docs.mapInArrow(encode, "kind int, doc_id long, ids binary, n_tokens long, tie long, sketch binary")
+
 
+def corpus_counts(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the tasks' document frequencies and moments: tables of fixed size, added up in a tree of tasks."""
 
-def document_frequencies(encoded: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counts: a table of the vocabulary's size, added up in a tree of tasks."""
+    def total(pairs) -> tuple[np.ndarray, np.ndarray]:
+        df, moments = np.zeros(1, np.int64), np.zeros((DIMS + 1, DIMS + 1))
+        for ids, sketch in pairs:
+            part = np.frombuffer(ids, np.int64)
+            df = df + part if len(df) in (1, len(part)) else part
+            moments = moments + np.frombuffer(sketch).reshape(DIMS + 1, DIMS + 1)
+        return df, moments
 
     def add(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                part = np.frombuffer(x.as_py(), np.int64)
-                total = part.copy() if not len(total) else total + part
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["ids"])
+        df, moments = total((i, m) for batch in batches for i, m in zip(*(c.to_pylist() for c in batch.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (df, moments)], ["ids", "sketch"])
+
+    parts = encoded.filter("kind = 1").select("ids", "sketch")
+    sums = parts.repartition(16).mapInArrow(add, "ids binary, sketch binary").collect()
+    return total((bytes(r.ids), bytes(r.sketch)) for r in sums if len(r.ids) > 8)
 
-    parts = encoded.filter("kind = 1").select("ids")
-    sums = [np.frombuffer(bytes(r.ids), np.int64) for r in parts.repartition(16).mapInArrow(add, "ids binary").collect()]
-    sums = [x for x in sums if len(x)]
-    return sum(sums[1:], sums[0]) if sums else np.zeros(1, np.int64)
+
+def directions(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the sketches and their directions, the widest first."""
+    n = max(moments[0, 0], 1.0)
+    mean = moments[0, 1:] / n
+    _, found = np.linalg.eigh(moments[1:, 1:] / n - np.outer(mean, mean))
+    found = found[:, ::-1]
+    lead = found[np.abs(found).argmax(0), np.arange(DIMS)]
+    return mean, found * np.sign(lead)
+
+
+def lexical_keys(sketches: np.ndarray, mean: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """The sides of the directions on which the sketches lie, the first one highest."""
+    return ((sketches - mean) @ along > 0) @ (1 << np.arange(DIMS - 1, -1, -1, dtype=np.int64))
 
 
 def weights(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +122,6 @@ def weights(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> tuple[np.ndarr
     return term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_len))
 
 
-def lexical_key(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> int:
-    """The best ``KEY_TERMS`` terms in one number, the best one highest; ties go to the smaller id."""
-    term, w = weights(ids, idf, mean_len)
-    best = term[np.lexsort((term, -w))[:KEY_TERMS]].tolist()
-    key = 0
-    for t in [*best, *[0] * (KEY_TERMS - len(best))]:
-        key = key << 21 | t
-    return key
-
-
 class ShardIndex:
     """BM25 over one shard: postings by token id with corpus-wide idf."""
 
@@ -202,17 +222,18 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed, 2 bytes each where the vocabulary fits)."""
     arrow_rows(docs.sparkSession)
     encoded = staged(encode_documents(docs, tokenizer_path, end_id), "packed-ids")
-    df = document_frequencies(encoded)
+    df, moments = corpus_counts(encoded)
+    mean, along = directions(moments)
     kind = id_type(max(encoder(tokenizer_path, "word").size, end_id + 1))
-    rows = encoded.filter("kind = 0").select("doc_id", "ids", "tie")
+    rows = encoded.filter("kind = 0").select("doc_id", "ids", "tie", "sketch")
     n, tokens = encoded.filter("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     mean_len = max(tokens / max(n, 1), 1.0)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [lexical_key(np.frombuffer(x.as_py(), kind), idf, mean_len) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "ids", "tie", "lexical"])
+            sketches = np.array([np.frombuffer(x.as_py(), np.float32) for x in batch.column(3)]).reshape(-1, DIMS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lexical_keys(sketches, mean, along))], ["doc_id", "ids", "tie", "lexical"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
