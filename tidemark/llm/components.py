@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, staged
 
-MAX_ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` to (id, component): every linked id with the least id of its component.
@@ -21,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
