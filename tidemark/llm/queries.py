@@ -16,18 +16,22 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written and read back. Null texts are empty; null ids come first; repeated ids and rows keep all rows, by text; no documents, no rows."""
     return token_output.token_digest(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that an earlier document has. Null texts are empty; null ids count as greatest and never remove each other's bytes, nor do rows of one id; no documents, no rows."""
     return substring_dedup.dedup(load(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every text. Texts without words (null ones too) score the training share of toxic texts; rows with a null id are scored, never learnt from; without labels of both classes every score is 0."""
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts. Texts without words have the zero fingerprint; null ids come first, equal ids go by text; a single document is its own next one; no documents, no rows."""
     rows = simhash.fingerprints(load(spark, sf_dir, "documents"))
     near = simhash.near_counts(rows)
     own, other, following = ("f0", "f1"), ("e0", "e1"), ("g0", "g1")
@@ -44,12 +48,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts at fetch time. Captures without a readable host or time match nothing; repeated captures each get a verdict; no pages, no rows."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     found = url_lists.evaluate(url_lists.page_captures(pages), url_lists.host_list(pages))
     return found.withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data. Null texts are empty; repeated rows and ids keep one result each; no documents, no rows."""
     found = pii.with_spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(pii.of_kind("base", kind)).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -58,14 +64,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of token windows. Null texts are one end id; repeated rows and ids are packed as they stand; no documents, no rows."""
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document. Texts without words link to nothing; rows with a null id take part, a class of such rows alone has a null class_id; repeated rows link to each other; no documents, no rows."""
     return near_join.join(load(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document. Null texts have no words and fail; rows are judged one by one; no documents, no rows."""
     judged = quality.judge(load(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -75,6 +84,7 @@ WEIGHTS = {"clean": 0.87, "junk": 0.08, "toxic": 0.05}
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies of every document. Texts without words have the priors and rate 1; null and unlabelled ids are classified like others; without labels there is one domain; no documents, no rows."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     mixed = mixing.mix(docs, load(spark, sf_dir, "labels"), WEIGHTS)
     return mixed.select("doc_id", F.col("mix_n").alias("n_words"), F.col("mix_domain").alias("domain"), F.col("mix_p").alias("posteriors"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
