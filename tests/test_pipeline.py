@@ -278,3 +278,11 @@ def test_queries_run(spark, sf, name):
 
 def test_oracle_names_known_queries():
     assert set(oracle.ORACLE) <= set(queries.QUERIES)
+
+
+def test_shares_of_totals_far_from_all_rates(spark):
+    rows = spark.createDataFrame([(0, 5e6), (1, 9.0), (2, 1e300)], "idx long, flow double").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    found = allocate.rate_shares(rows, spark.createDataFrame([("a", 8.0), ("b", 10.0), ("c", 12.0)], "fixture string, rate double"), 1.0)
+    got = {(r.idx, r.fixture): r.share for r in found.collect()}
+    assert all(abs(sum(got[i, f] for f in "abc") - 1) < 1e-9 for i in (0, 1, 2))
+    assert got[0, "c"] > got[0, "b"] > got[0, "a"] and abs(got[1, "a"] - got[1, "b"]) < 1e-12

@@ -45,8 +45,10 @@ def rate_shares(samples: DataFrame, rates: DataFrame, softness: float = 1.0, flo
     Idle samples (magnitude at most ``floor``) get zero flow.
     """
     spread = samples.join(F.broadcast(rates.filter("rate IS NOT NULL").select("fixture", "rate")))  # configured fixtures
-    weight = F.exp(-F.abs(F.col("flow") - F.col("rate")) / F.lit(softness))
-    weighted = spread.withColumn("al_w", weight)
+    # distances beyond the nearest rate's: its weight is 1, so the sum never vanishes, however far the total lies from all rates
+    beyond = F.abs(F.col("flow") - F.col("rate"))
+    nearest = spread.withColumn("al_d", beyond - F.min(beyond).over(Window.partitionBy("idx")))
+    weighted = nearest.withColumn("al_w", F.exp(-F.col("al_d") / F.lit(softness)))
     share = F.col("al_w") / F.sum("al_w").over(Window.partitionBy("idx"))
     idle = F.abs(F.col("flow")) <= floor
     return weighted.withColumn("share", share).select(
