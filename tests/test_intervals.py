@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as I
 from tidemark.operators import matching as M
@@ -96,3 +97,30 @@ def test_diary_matching(spark):
     cost = np.array([[abs(x[1] - c[1]) if abs(x[1] - c[1]) <= 900 else np.inf for c in events] for x in usable], float)
     first = M.min_cost_assignment(cost)
     assert len({r.candidate for r in best}) >= len(first)
+
+
+def test_banded_assignments_are_optimal(monkeypatch):
+    rng = np.random.default_rng(12)
+    for k in range(300):
+        monkeypatch.setattr(M, "BLOCK", 1 + k % 4)
+        n, m, tolerance = (int(x) for x in rng.integers(1, 12, 3))
+        x, y = (np.sort(rng.integers(0, 30, size)) for size in (n, m))
+        durations = np.where(rng.random(n) < (0, 0.6)[k % 2], rng.integers(0, 9, n), np.nan)
+        lengths = rng.integers(0, 9, m).astype(float)
+        off = np.abs(x[:, None] - y[None, :]).astype(float)
+        price = off + np.nan_to_num(np.minimum(np.abs(lengths[None, :] - durations[:, None]) / np.maximum(durations[:, None], 1), 4) * 0.5 * 0.25)
+        cost = np.where(off <= tolerance, price, np.inf)
+        first = M.min_cost_assignment(cost)
+        got = M.assign_part(x, y, durations, lengths, tolerance, 0.5)
+        assert sorted(i for i, _ in got) == np.flatnonzero(np.isfinite(cost).any(1)).tolist()
+        own = got[: len(first)]
+        assert len({i for i, _ in own}) == len({j for _, j in own}) == len(first)
+        assert abs(sum(cost[p] for p in own) - sum(cost[p] for p in first)) < 1e-9
+
+
+def test_one_long_part_is_assigned_in_bounded_memory(spark):
+    n = 60_000  # a matrix of this part would hold 29 GB
+    rows = spark.range(n).select((F.col("id") * 4).alias("start_idx"), F.col("id"))
+    diary = rows.select(F.col("id").alias("entry"), (F.col("start_idx") + 1).alias("start_idx"), F.lit(None).cast("long").alias("duration_s"), F.lit(False).alias("excluded"), F.lit("a").alias("fixture"))
+    found = M.match_diary(diary, rows.select(F.col("id").alias("candidate"), "start_idx", F.lit(60).cast("long").alias("duration_s")), 30, 0.5)
+    assert found.agg(F.count("*"), F.count_distinct("candidate"), F.sum("cost"), F.count_if("shared_candidate")).first() == (n, n, n, 0)
