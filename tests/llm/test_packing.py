@@ -95,6 +95,28 @@ def test_windows_are_filled_by_their_seed():
         assert list(dict.fromkeys(p[0] for p in pieces)) == brute_order(docs, idf, mean_len, 256)
 
 
+def test_used_documents_leave_the_index():
+    docs, idf, mean_len = topical(80)
+    index = K.ShardIndex(docs, idf, mean_len)
+    full = index.scores(3)
+    index.unused[10:] = False
+    next(index.neighbours(3))
+    assert index.held.tolist() == list(range(10)) and len(index.owner) == sum(len(np.unique(d)) for d in docs[:10])
+    assert (index.scores(3) == full[:10]).all()
+    index.unused[:] = False
+    assert list(index.neighbours(3)) == [] and not len(index.owner)
+
+
+def test_documents_are_counted_together(monkeypatch):
+    docs, _, _ = topical(50)
+    docs[7], docs[20] = docs[7][:0], np.arange(900) % 70
+    for together in (1, 300, 1 << 18):
+        monkeypatch.setattr(K, "TOGETHER", together)
+        for d, (term, count) in zip(docs, K.term_counts(docs), strict=True):
+            want = np.unique(d, return_counts=True)
+            assert (term == want[0]).all() and (count == want[1]).all() and len(term) == len(want[0])
+
+
 def test_related_documents_share_a_shard(spark):
     rows = [(i, " ".join(f"topic{i % 40}word{(i // 40 + j) % 9}" for j in range(60)) + f" plain text of document {i}") for i in range(800)]
     pieces = K.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), WORD, shard_docs=60, window=256).collect()

@@ -39,6 +39,7 @@ WINDOW = 2048
 SHARD_DOCS = 2048
 SHARD_TOKENS = 2_000_000
 DIMS = 32
+TOGETHER = 1 << 18  # ids that are sorted in one call
 SEED = 11
 K1, B = 1.2, 0.75
 
@@ -62,9 +63,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
         names = ["kind", "doc_id", "ids", "n_tokens", "tie", "sketch"]
         for batch in batches:
             packed, sizes, sketches = [], [], []
-            for found in enc.encode_many(batch.column(1).to_pylist()):
-                ids = np.append(found, end_id)
-                term, count = np.unique(ids, return_counts=True)
+            docs = [np.append(found, end_id) for found in enc.encode_many(batch.column(1).to_pylist())]
+            for ids, (term, count) in zip(docs, term_counts(docs)):
                 seen[term] += 1
                 sketches.append(np.sqrt(count, dtype=np.float32) @ along[term] / np.float32(np.sqrt(len(ids))))
                 packed.append(ids.astype(kind_of).tobytes())
@@ -116,41 +116,69 @@ def lexical_keys(sketches: np.ndarray, mean: np.ndarray, along: np.ndarray) -> n
     return ((sketches - mean) @ along > 0) @ (1 << np.arange(DIMS - 1, -1, -1, dtype=np.int64))
 
 
-def weights(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> tuple[np.ndarray, np.ndarray]:
-    """Different ids of a document and their BM25 weights."""
-    term, tf = np.unique(ids, return_counts=True)
-    return term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_len))
+def term_counts(docs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Different ids of each document and their counts; short documents are sorted together."""
+    out, at = [], 0
+    while at < len(docs):
+        end, held = at + 1, len(docs[at])
+        while end < len(docs) and held + len(docs[end]) <= TOGETHER:
+            held += len(docs[end])
+            end += 1
+        if end == at + 1:
+            out.append(np.unique(docs[at], return_counts=True))
+        else:
+            name = np.arange(end - at, dtype=np.uint64) << np.uint64(32)
+            key = np.repeat(name, [len(x) for x in docs[at:end]]) | np.concatenate(docs[at:end]).astype(np.uint64)
+            key.sort()
+            first = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)[: len(key)]
+            count, key = np.diff(np.append(first, len(key))), key[first]
+            cuts = np.searchsorted(key, name[1:])
+            out += zip(np.split((key & np.uint64(0xFFFFFFFF)).astype(docs[at].dtype), cuts), np.split(count, cuts))
+        at = end
+    return out
 
 
 class ShardIndex:
-    """BM25 over one shard: postings by token id with corpus-wide idf."""
+    """BM25 over one shard: postings by token id with corpus-wide idf, thinned out as documents are used."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_len: float):
-        found = [weights(ids, idf, mean_len) for ids in docs]
-        sizes = np.array([len(t) for t, _ in found])
-        self.terms = [t for t, _ in found]
-        term = np.concatenate(self.terms)
+        self.terms, counts = (list(x) for x in zip(*term_counts(docs)))
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
+        length = np.array([len(ids) for ids in docs])
+        term, tf = np.concatenate(self.terms), np.concatenate(counts)
         order = np.argsort(term, kind="stable")
-        self.weight = np.concatenate([w for _, w in found])[order]
-        self.owner = np.repeat(np.arange(len(docs)), sizes)[order]
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean_len)))[order]
+        self.owner = owner[order]  # places in ``held``
         self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.held = np.arange(len(docs))  # documents that have postings
         self.unused = np.ones(len(docs), bool)
         self.next_seed = 0
 
+    def thin(self) -> None:
+        """Drop the postings of used documents once these are a quarter of those held."""
+        stays = self.unused[self.held]
+        if 4 * np.count_nonzero(stays) > 3 * len(stays):
+            return
+        kept = stays[self.owner]
+        self.begin = np.append(0, np.cumsum(kept))[self.begin]
+        self.owner, self.weight = (np.cumsum(stays) - 1)[self.owner[kept]], self.weight[kept]
+        self.held = self.held[stays]
+
     def scores(self, k: int) -> np.ndarray:
-        """BM25 scores of all documents of the shard for the terms of document ``k``."""
-        spans = [slice(a, b) for a, b in zip(self.begin[self.terms[k]].tolist(), self.begin[self.terms[k] + 1].tolist())]
+        """BM25 scores of the documents held for the terms of document ``k``."""
+        spans = [slice(a, b) for a, b in zip(self.begin[self.terms[k]].tolist(), self.begin[self.terms[k] + 1].tolist()) if a < b]
+        if not spans:
+            return np.zeros(len(self.held))
         owner, weight = np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
-        return np.bincount(owner, weight, minlength=len(self.unused))
+        return np.bincount(owner, weight, minlength=len(self.held))
 
     def neighbours(self, k: int) -> Iterator[int]:
         """Unused documents for seed ``k``: best score first (ties: the first one), then those without a score."""
+        self.thin()
         score = self.scores(k)
-        score[~self.unused] = 0
-        for i in np.argsort(-score, kind="stable").tolist():
-            if score[i] <= 0:
-                break
-            yield i
+        score[~self.unused[self.held]] = 0
+        some = np.flatnonzero(score > 0)
+        yield from self.held[some[np.argsort(-score[some], kind="stable")]].tolist()
         while True:
             while self.next_seed < len(self.unused) and not self.unused[self.next_seed]:
                 self.next_seed += 1
